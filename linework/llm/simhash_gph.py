@@ -166,19 +166,24 @@ def thresholds(widths: list[int], pairs: list[np.ndarray], n: int, radius: int)
 
 
 def plan(fps: DataFrame, radius: int) -> list[Group]:
-    """Groups and thresholds for fingerprints fps (f long, distinct), from counts over all of them. The driver gets a
-    64 x 64 matrix and histograms of at most 65,536 keys a block, however many fingerprints there are."""
+    """Groups and thresholds for fingerprints fps (f long, distinct), from counts over all of them. However
+    many there are, a task gets the at most 65,536 counts of one block, the driver a 64 x 64 matrix and 17 numbers a block."""
     n, corr = fps.count(), bit_correlation(fps)
     choices = [group_bits(corr, m) for m in GROUP_COUNTS]
     blocks = sorted({b for groups in choices for bits in groups for b in halves(bits)})
     keys = F.array(*[F.struct(F.lit(i).alias("i"), Group(b, 0).key(F.col("f")).alias("k")) for i, b in enumerate(blocks)])
-    counted = fps.select(F.explode(keys).alias("x")).groupBy("x.i", "x.k").count().toPandas()
-    found = {}
-    for i, b in enumerate(blocks):
-        own = counted[counted.i == i]
-        h = np.zeros(1 << len(b))
-        h[own.k.to_numpy(np.int64)] = own["count"].to_numpy()
-        found[b] = pairs_by_distance(h)
+    widths = [len(b) for b in blocks]
+
+    def distances(key, x):
+        h = np.zeros(1 << widths[key[0]])
+        h[x.k.to_numpy(np.int64)] = x.n.to_numpy()
+        pairs = pairs_by_distance(h)
+        return pd.DataFrame({"i": key[0], "d": np.arange(len(pairs)), "n": pairs})
+
+    counted = fps.select(F.explode(keys).alias("x")).groupBy("x.i", "x.k").agg(F.count(F.lit(1)).alias("n"))
+    found = {b: np.zeros(len(b) + 1) for b in blocks}
+    for i, d, pairs in counted.groupBy("i").applyInPandas(distances, "i int, d int, n double").collect():
+        found[blocks[i]][d] = pairs
     options = []
     for groups in choices:
         pairs = []
