@@ -155,7 +155,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     placed = mentions.join(surrogates(entities, key), ["kind", "canon"]).select("row", "pos", formatted(F.col("raw"), F.col("kind"), F.col("new")).alias("new"))
     of_row = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "new")))["new"].alias("new"))
     of_row = cut(of_row.select(F.col("row").alias(f"{row}_"), F.col("new").alias(own)), "replacements")
-    both = told.join(of_row, F.col(row) == F.col(f"{row}_"), "left")
+    both = told.join(of_row.hint("merge"), F.col(row) == F.col(f"{row}_"), "left")  # one plan at every size
     pieces = F.split(F.col(text_col), PATTERN, -1)
     text = F.array_join(F.flatten(F.zip_with(pieces, F.col(own), lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
     return both.select(*[F.when(F.col(own).isNotNull(), text).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size(F.col(own)), F.lit(0)).cast("long").alias(n))
