@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linework.functions.segments import TAU, distance, end_point, length, point, seg_sweep, start_point
+from linework.functions.segments import TAU, distance, end_point, point, seg_sweep, start_point
 
 TOLERANCE, ANGLE_DEG = 0.01, 1.0
 NOTHING = "struct<shape:string,cx:double,cy:double,length:double,width:double,angle:double,sides:int>"
@@ -40,9 +40,14 @@ def _turn_deg(a: Column, b: Column) -> Column:
     return F.least(d, 180 - d)
 
 
+def _run(s: Column) -> Column:
+    """Length of a line."""
+    return F.sqrt((s["x1"] - s["x0"]) * (s["x1"] - s["x0"]) + (s["y1"] - s["y0"]) * (s["y1"] - s["y0"]))
+
+
 def as_rectangle(segments: Column, tolerance: float = TOLERANCE) -> Column:
     """Four lines, right angles to a degree, opposite sides equal to 1 % of the longest."""
-    l = [length(segments[i]) for i in range(4)]
+    l = [_run(segments[i]) for i in range(4)]
     h = [_heading(segments[i]) for i in range(4)]
     longest = F.greatest(*l)
     square = F.lit(True)
@@ -64,7 +69,7 @@ def as_stadium(segments: Column, tolerance: float = TOLERANCE) -> Column:
     half = lambda s: F.abs(seg_sweep(s) - pi) <= ANGLE_DEG * pi / 180
     ok = (F.size(segments) == 4) & (a["kind"] == "arc") & (b["kind"] == "arc") & (l1["kind"] == "line") & (l2["kind"] == "line")
     ok = ok & (F.abs(a["r"] - b["r"]) <= tolerance * a["r"]) & half(a) & half(b) & (_turn_deg(_heading(l1), _heading(l2)) <= ANGLE_DEG)
-    ok = ok & (F.abs(length(l1) - axis) <= tolerance * F.greatest(axis, a["r"])) & (F.abs(length(l2) - axis) <= tolerance * F.greatest(axis, a["r"]))
+    ok = ok & (F.abs(_run(l1) - axis) <= tolerance * F.greatest(axis, a["r"])) & (F.abs(_run(l2) - axis) <= tolerance * F.greatest(axis, a["r"]))
     angle = F.pmod(F.degrees(F.atan2(b["cy"] - a["cy"], b["cx"] - a["cx"])), F.lit(180.0))
     return F.when(ok, _facts("stadium", (a["cx"] + b["cx"]) / 2, (a["cy"] + b["cy"]) / 2, axis + 2 * a["r"], 2 * a["r"], F.when(angle > 180 - 1e-9, 0.0).otherwise(angle), F.lit(4)))
 

@@ -100,9 +100,8 @@ def arc_at(q: Prim, t: float) -> Point:
         cx, cy, r, a0, a1 = q.p
         a = a0 + way * t * sweep(a0, a1, q.ccw)
         return (cx + r * cos(a), cy + r * sin(a))
-    cx, cy, mx, my, ratio, a0, a1 = q.p
-    a = a0 + way * t * sweep(a0, a1, q.ccw)
-    return (cx + mx * cos(a) - my * ratio * sin(a), cy + my * cos(a) + mx * ratio * sin(a))
+    x, y = ellipse_at(q, np.array([t]))[0]
+    return (float(x), float(y))
 
 
 def spline_at(q: Prim, ts) -> np.ndarray:
@@ -122,23 +121,27 @@ def spline_at(q: Prim, ts) -> np.ndarray:
 
 
 def refined(at, lo: float, hi: float, n: int, tolerance: float, depth: int = 8, most: int = 400) -> list[Point]:
-    """Even samples, halved where the middle of a step is further than tolerance from its chord."""
-    out = [at(lo)]
-
-    def halve(a, pa, b, pb, level):
-        m = (a + b) / 2
-        pm = at(m)
-        if level < depth and len(out) < most and to_segment(pm, pa, pb) > tolerance:
-            halve(a, pa, m, pm, level + 1)
-            halve(m, pm, b, pb, level + 1)
-        else:
-            out.append(pb)
-
-    steps = [lo + (hi - lo) * i / n for i in range(n + 1)]
-    points = [at(t) for t in steps]
-    for i in range(n):
-        halve(steps[i], points[i], steps[i + 1], points[i + 1], 0)
-    return out
+    """Even samples, halved where the middle of a step is further than tolerance from its chord. at takes an array of
+    parameters and gives their points; each round looks at all steps at once."""
+    ts = np.linspace(lo, hi, n + 1)
+    pts = at(ts)
+    for _ in range(depth):
+        mid = (ts[:-1] + ts[1:]) / 2
+        m, a, d = at(mid), pts[:-1], pts[1:] - pts[:-1]
+        square = (d * d).sum(1)
+        k = np.clip(np.divide(((m - a) * d).sum(1), square, out=np.zeros(len(mid)), where=square > 0), 0, 1)
+        wide = np.flatnonzero(np.hypot(*(m - a - k[:, None] * d).T) > tolerance)
+        if not len(wide) or len(ts) >= most:
+            break
+        ts, pts = np.insert(ts, wide + 1, mid[wide]), np.insert(pts, wide + 1, m[wide], axis=0)
+    return [(float(x), float(y)) for x, y in pts]
+
+
+def ellipse_at(q: Prim, t: np.ndarray) -> np.ndarray:
+    """Points after the shares t of an ellipse."""
+    cx, cy, mx, my, ratio, a0, a1 = q.p
+    a = a0 + (1 if q.ccw else -1) * t * sweep(a0, a1, q.ccw)
+    return np.column_stack([cx + mx * np.cos(a) - my * ratio * np.sin(a), cy + my * np.cos(a) + mx * ratio * np.sin(a)])
 
 
 def sample(q: Prim, tolerance: float = SAGITTA) -> tuple[Point, ...]:
@@ -152,12 +155,12 @@ def sample(q: Prim, tolerance: float = SAGITTA) -> tuple[Point, ...]:
         n = min(128, max(64, ceil(turn / step))) if q.kind == "circle" else max(32, ceil(turn / step))
         return tuple(arc_at(q, i / n) for i in range(n + 1))
     if q.kind == "ellipse":
-        return tuple(refined(lambda t: arc_at(q, t), 0.0, 1.0, 32, tolerance))
+        return tuple(refined(lambda t: ellipse_at(q, t), 0.0, 1.0, 32, tolerance))
     if q.samples:
         return q.samples
     if len(q.ctrl) > q.degree and len(q.knots) == len(q.ctrl) + q.degree + 1:
         lo, hi = q.knots[q.degree], q.knots[len(q.ctrl)]
-        return tuple(refined(lambda t: tuple(map(float, spline_at(q, [t])[0])), lo, hi, min(100, 4 * len(q.ctrl)), tolerance))
+        return tuple(refined(lambda t: spline_at(q, t), lo, hi, min(100, 4 * len(q.ctrl)), tolerance))
     return q.ctrl or ((float("nan"), float("nan")),) * 2
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import pi
 
 import pandas as pd
@@ -13,40 +14,72 @@ from linework.functions import segments as S
 from linework.kernels import normalise as N
 from linework.kernels import planar as P
 from linework.kernels import reading as R
-from linework.kernels.primitives import edge, length, path_length, prim_from_row, to_segment
+from linework.kernels.primitives import edge, length, path_length, prim_from_row
 from linework.plans.relational import containment_tree, nearest, points_in_rings
 from linework.schema import CONTOURS, DEFAULT_TOLERANCE, EDGES
 
 
 def edges_of(pdf: pd.DataFrame) -> list:
     """Kernel edges of one drawing, in the order of edge_id."""
-    return [edge(int(r.edge_id), prim_from_row(r.seg), r.role or "unknown", r.style) for r in pdf.sort_values("edge_id", kind="stable").itertuples()]
+    return [edge(int(r.edge_id), prim_from_row(r.seg), r.role or "unknown", r.style) for r in pdf.itertuples()]
 
 
-def contour_rows(drawing_id: int, found: R.Reading) -> pd.DataFrame:
+def each_drawing(df: DataFrame, f: Callable, schema, order: str = "edge_id", by_frame: bool = False) -> DataFrame:
+    """Rows f(drawing_id, edges) of every drawing, f(drawing_id, frame) with by_frame. One shuffle and sort by drawing;
+    many small drawings go through Python together, and a large one is put together from its batches."""
+    names = [x.strip().split()[0] for x in schema.split(",")] if isinstance(schema, str) else schema.names
+    whole = {n: "Int32" for n in names if n in ("cluster_id", "contour_id", "depth", "parent_id")}
+
+    def rows(x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for d, own in x.groupby("drawing_id", sort=False):
+            out += f(d, own if by_frame else edges_of(own))
+        return pd.DataFrame(out, columns=names).astype(whole)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for x in frames:
+            if not len(x):
+                continue
+            last = x.drawing_id.iloc[-1]
+            if held and held[0].drawing_id.iloc[0] == last:
+                held.append(x)
+                continue
+            more = x.drawing_id == last
+            done = pd.concat([*held, x[~more]]) if held else x[~more]
+            held = [x[more]]
+            if len(done):
+                yield rows(done)
+        if held:
+            yield rows(pd.concat(held))
+
+    dealt = df.where("drawing_id is not null").repartition("drawing_id").sortWithinPartitions("drawing_id", order)
+    return dealt.mapInPandas(run, schema)
+
+
+def contour_rows(drawing_id: int, found: R.Reading) -> list[tuple]:
     rows = []
     for i, c in enumerate(found.curves):
         rows.append((drawing_id, c.cluster, i, c.kind, c.role, c.depth, c.parent, c.area, path_length([*c.ring, c.ring[0]]), [{"x": float(x), "y": float(y)} for x, y in c.ring], c.edges, None))
     rows += [(drawing_id, None, None, "trash", role, None, None, None, None, None, [i], None) for i, role in found.trash]
     rows += [(drawing_id, None, None, level, None, None, None, None, None, None, None, text) for level, text in found.messages]
-    out = pd.DataFrame(rows, columns=CONTOURS.names)
-    return out.astype({"cluster_id": "Int32", "contour_id": "Int32", "depth": "Int32", "parent_id": "Int32"})
+    return rows
 
 
 def heal_drawings(edges: DataFrame, tolerance: float = DEFAULT_TOLERANCE, structural: tuple[str, ...] = ()) -> DataFrame:
     """edges (EDGES) of many drawings: their contours with cluster, depth and parent, the edges that are none (kind
     trash) and what is to be said about the drawing (kind warning or error). Drawings are independent: one shuffle."""
     more = frozenset(structural)
-    return edges.groupBy("drawing_id").applyInPandas(lambda key, x: contour_rows(key[0], R.heal(edges_of(x), tolerance, more)), CONTOURS)
+    return each_drawing(edges, lambda d, es: contour_rows(d, R.heal(es, tolerance, more)), CONTOURS)
 
 
 def read_views(edges: DataFrame, max_gap: float, tolerance: float = DEFAULT_TOLERANCE, structural: tuple[str, ...] = ()) -> DataFrame:
     """The outside-in reading: pieces by nearness, their outlines and inner contours."""
     more = frozenset(structural)
-    return edges.groupBy("drawing_id").applyInPandas(lambda key, x: contour_rows(key[0], R.views(edges_of(x), max_gap, tolerance, more)), CONTOURS)
+    return each_drawing(edges, lambda d, es: contour_rows(d, R.views(es, max_gap, tolerance, more)), CONTOURS)
 
 
-def _edge_rows(key: tuple, edges: list) -> pd.DataFrame:
+def _edge_rows(drawing_id: int, edges: list) -> list[tuple]:
     def seg(q):
         s = dict.fromkeys(f.name for f in EDGES["seg"].dataType.fields) | {"kind": q.kind}
         names = {"line": ("x0", "y0", "x1", "y1"), "arc": ("cx", "cy", "r", "a0", "a1"), "circle": ("cx", "cy", "r"), "ellipse": ("cx", "cy", "mx", "my", "ratio", "a0", "a1")}.get(q.kind, ())
@@ -57,12 +90,12 @@ def _edge_rows(key: tuple, edges: list) -> pd.DataFrame:
             s |= {"degree": q.degree, "ctrl": [{"x": x, "y": y} for x, y in q.ctrl], "knots": list(q.knots), "weights": list(q.weights) or None, "samples": [{"x": x, "y": y} for x, y in q.samples] or None}
         return s
 
-    return pd.DataFrame([(key[0], e.id, e.role, seg(e.prim), e.style) for e in edges], columns=EDGES.names)
+    return [(drawing_id, e.id, e.role, seg(e.prim), e.style) for e in edges]
 
 
 def _mapped(edges: DataFrame, f) -> DataFrame:
     """Edges of each drawing through a kernel that returns edges."""
-    return edges.groupBy("drawing_id").applyInPandas(lambda key, x: _edge_rows(key, f(edges_of(x))), EDGES)
+    return each_drawing(edges, lambda d, es: _edge_rows(d, f(es)), EDGES)
 
 
 def merge_collinear(edges: DataFrame, keep_junctions: bool = False) -> DataFrame:
@@ -97,67 +130,60 @@ def split_at_crossings(edges: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -
 def non_contour_candidates(edges: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
     """drawing_id, edge_id of edges that are no part of an outline, and whether their ends need them to be connected."""
 
-    def found(key, x):
-        es = edges_of(x)
+    def found(d, es):
         ids = P.non_contour(es, tolerance)
         joins = P.joining(es, ids)
-        return pd.DataFrame([(key[0], i, i in joins) for i in sorted(ids)], columns=["drawing_id", "edge_id", "joins"])
+        return [(d, i, i in joins) for i in sorted(ids)]
 
-    return edges.groupBy("drawing_id").applyInPandas(found, "drawing_id long, edge_id int, joins boolean")
+    return each_drawing(edges, found, "drawing_id long, edge_id int, joins boolean")
 
 
 def outer_faces(edges: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
     """drawing_id, area, perimeter, edge_ids of each drawing's outline, read from the outside."""
 
-    def found(key, x):
-        cut = P.planarise(edges_of(x), tolerance)
+    def found(d, es):
+        cut = P.planarise(es, tolerance)
         best = P.outer_ring(cut)
-        rows = [] if best is None else [(key[0], best[0], path_length([*best[1], best[1][0]]), sorted({cut[k].parent for k in best[2]}))]
-        return pd.DataFrame(rows, columns=["drawing_id", "area", "perimeter", "edge_ids"])
+        return [] if best is None else [(d, best[0], path_length([*best[1], best[1][0]]), sorted({cut[k].parent for k in best[2]}))]
 
-    return edges.groupBy("drawing_id").applyInPandas(found, "drawing_id long, area double, perimeter double, edge_ids array<int>")
+    return each_drawing(edges, found, "drawing_id long, area double, perimeter double, edge_ids array<int>")
 
 
 def face_areas(edges: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
     """drawing_id, face, area of every bounded face of the planar drawing, largest first."""
 
-    def found(key, x):
-        areas = sorted((a for a, _, _ in P.faces(P.merge_nodes(P.planarise(edges_of(x), tolerance), 0.01))), reverse=True)
-        return pd.DataFrame([(key[0], i, a) for i, a in enumerate(areas)], columns=["drawing_id", "face", "area"])
+    def found(d, es):
+        areas = sorted((a for a, _, _ in P.faces(P.merge_nodes(P.planarise(es, tolerance), 0.01))), reverse=True)
+        return [(d, i, a) for i, a in enumerate(areas)]
 
-    return edges.groupBy("drawing_id").applyInPandas(found, "drawing_id long, face int, area double")
+    return each_drawing(edges, found, "drawing_id long, face int, area double")
 
 
 def spatial_islands(edges: DataFrame, gap: float) -> DataFrame:
     """drawing_id, edge_id, island: the number of the group of near edges, 0 for the largest box."""
 
-    def found(key, x):
-        rows = [(key[0], e.id, i) for i, group in enumerate(N.islands(edges_of(x), gap)) for e in group]
-        return pd.DataFrame(rows, columns=["drawing_id", "edge_id", "island"])
-
-    return edges.groupBy("drawing_id").applyInPandas(found, "drawing_id long, edge_id int, island int")
+    found = lambda d, es: [(d, e.id, i) for i, group in enumerate(N.islands(es, gap)) for e in group]
+    return each_drawing(edges, found, "drawing_id long, edge_id int, island int")
 
 
 def gap_pairs(edges: DataFrame, tolerance: float) -> DataFrame:
     """drawing_id, edge_a, end_a, edge_b, end_b: free ends that are joined, nearest first, each once."""
 
-    def found(key, x):
-        es, _ = N.split_finite(edges_of(x))
-        rows = [(key[0], es[i].id, ka, es[j].id, kb) for (_, i, ka), (_, j, kb) in N.pair_ends(N.free_ends(es), tolerance)]
-        return pd.DataFrame(rows, columns=["drawing_id", "edge_a", "end_a", "edge_b", "end_b"])
+    def found(d, es):
+        es, _ = N.split_finite(es)
+        return [(d, es[i].id, ka, es[j].id, kb) for (_, i, ka), (_, j, kb) in N.pair_ends(N.free_ends(es), tolerance)]
 
-    return edges.groupBy("drawing_id").applyInPandas(found, "drawing_id long, edge_a int, end_a int, edge_b int, end_b int")
+    return each_drawing(edges, found, "drawing_id long, edge_a int, end_a int, edge_b int, end_b int")
 
 
 def simplify_points(points: DataFrame, closed: bool = True, arc_tolerance: float | None = None) -> DataFrame:
     """points: drawing_id, i, x, y: the primitives that are fitted to each run, as kinds and lengths in order."""
 
-    def found(key, x):
-        x = x.sort_values("i")
+    def found(d, x):
         prims = N.simplify(list(zip(x.x.tolist(), x.y.tolist())), closed, arc_tolerance=arc_tolerance) if len(x) > 1 else []
-        return pd.DataFrame([(key[0], i, q.kind, length(q)) for i, q in enumerate(prims)], columns=["drawing_id", "part", "kind", "length"])
+        return [(d, i, q.kind, length(q)) for i, q in enumerate(prims)]
 
-    return points.groupBy("drawing_id").applyInPandas(found, "drawing_id long, part int, kind string, length double")
+    return each_drawing(points, found, "drawing_id long, part int, kind string, length double", "i", True)
 
 
 def clusters(contours: DataFrame) -> DataFrame:
@@ -280,15 +306,3 @@ def rotate_to_longest(edges: DataFrame, target_deg: float = 0.0) -> DataFrame:
 
 def containment(boxes: DataFrame) -> DataFrame:
     return containment_tree(boxes, ["drawing_id"])
-
-
-def merge_ring_runs(points: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """drawing_id, ring: rings of points without those that lie on the line of their neighbours."""
-
-    def found(key, x):
-        x = x.sort_values("i")
-        p = list(zip(x.x.tolist(), x.y.tolist()))
-        keep = [q for i, q in enumerate(p) if to_segment(q, p[i - 1], p[(i + 1) % len(p)]) > tolerance]
-        return pd.DataFrame([(key[0], [{"x": a, "y": b} for a, b in keep])], columns=["drawing_id", "ring"])
-
-    return points.groupBy("drawing_id").applyInPandas(found, "drawing_id long, ring array<struct<x:double,y:double>>")

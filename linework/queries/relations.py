@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linework.functions import segments as S
 from linework.plans import relational as R
-from linework.queries.views import BOXES, CIRCLES, INTERVALS, POINTS, SEGS, SIDES, Views, query, r6, rnd
+from linework.queries.views import BOXES, CIRCLES, INTERVALS, NUDGE, POINTS, SEGS, SIDES, Views, query, r6, rnd
 
 #: Edges between rounded vertices: enough of them meet.
 NODES = f"{SEGS}, e AS (SELECT d, i, round(x0, 0) AS ax, round(y0, -1) AS ay, round(x1, 0) AS bx, round(y1, -1) AS by_ FROM segs), inc AS (SELECT d, i, ax AS x, ay AS y, bx AS ox, by_ AS oy FROM e WHERE ax <> bx OR ay <> by_ UNION ALL SELECT d, i, bx, by_, ax, ay FROM e WHERE ax <> bx OR ay <> by_), deg AS (SELECT d, x, y, count(*) AS degree FROM inc GROUP BY ALL)"
@@ -44,9 +44,10 @@ def node_graph(v: Views) -> DataFrame:
     return flat(g, F.col("edge_id").alias("i"), F.col("other.x").alias("ox"), F.col("other.y").alias("oy"))
 
 
-@query("graph13_renode", f"WITH {SEGS} SELECT d, i, round(x0, 3) + 0e0 AS ax, round(y0, 3) + 0e0 AS ay, round(x1, 3) + 0e0 AS bx, round(y1, 3) + 0e0 AS by_ FROM segs")
+@query("graph13_renode", f"WITH {SEGS} SELECT d, i, round(x0 + 1e-8, 3) + 0e0 AS ax, round(y0 + 1e-8, 3) + 0e0 AS ay, round(x1 + 1e-8, 3) + 0e0 AS bx, round(y1 + 1e-8, 3) + 0e0 AS by_ FROM segs")
 def renode(v: Views) -> DataFrame:
-    p, q = S.round_point(S.start_point(F.col("s"))), S.round_point(S.end_point(F.col("s")))
+    near = lambda p: S.round_point(S.point(p["x"] + NUDGE, p["y"] + NUDGE))
+    p, q = near(S.start_point(F.col("s"))), near(S.end_point(F.col("s")))
     return v.lines().select("d", "i", *[(c + F.lit(0.0)).alias(n) for n, c in (("ax", p["x"]), ("ay", p["y"]), ("bx", q["x"]), ("by_", q["y"]))])
 
 
@@ -63,7 +64,7 @@ def distance_within(v: Views) -> DataFrame:
     return near_points(v).select("a", "b", r6(F.col("d")).alias("dist"))
 
 
-COMPONENTS = f"WITH RECURSIVE {NEAR}, both AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT id, id FROM points), r(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, both.b FROM r JOIN both ON r.b = both.a)"
+COMPONENTS = f"WITH RECURSIVE {NEAR}, pairs AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT id, id FROM points), r(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, pairs.b FROM r JOIN pairs ON r.b = pairs.a)"
 
 
 @query("join2_cluster_points", f"{COMPONENTS} SELECT a AS id, min(b) AS cluster FROM r GROUP BY a")

@@ -9,7 +9,7 @@ from linework.functions import roles, texts
 from linework.functions.roles import RoleRule, RoleStyle
 from linework.functions import segments as S
 from linework.functions import rings
-from linework.queries.views import SEGS, SIDES, Views, query, r6, rnd
+from linework.queries.views import NUDGE, SEGS, SIDES, Views, query, r6, rnd
 from linework.sinks import export
 
 SLUG = "CASE WHEN trim(regexp_replace(lower(trim({0})), '[^a-z0-9_-]+', '_', 'g'), '_-') = '' THEN 'unknown' ELSE substr(trim(regexp_replace(lower(trim({0})), '[^a-z0-9_-]+', '_', 'g'), '_-'), 1, 64) END"
@@ -182,19 +182,19 @@ def resolve_target(v: Views) -> DataFrame:
     return path.withColumn("d", number).join(v.ring_rows().select("d", F.col("d").alias("target")), "d", "left").select("id", "target")
 
 
-@query("src11_page_point", f"WITH {SEGS} SELECT d, i, {rnd('x0 * 25.4 / 72')} AS x, {rnd('(842 - y0) * 25.4 / 72')} AS y FROM segs")
+@query("src11_page_point", f"WITH {SEGS} SELECT d, i, {rnd('1e-8 + x0 * 25.4 / 72')} AS x, {rnd('1e-8 + (842 - y0) * 25.4 / 72')} AS y FROM segs")
 def page_point(v: Views) -> DataFrame:
     from linework.sources.records import page_point as of
 
     p = of(F.col("x0"), F.col("y0"), F.lit(842.0))
-    return v.segs().select("d", "i", r6(p["x"]).alias("x"), r6(p["y"]).alias("y"))
+    return v.segs().select("d", "i", r6(p["x"] + NUDGE).alias("x"), r6(p["y"] + NUDGE).alias("y"))
 
 
-META = f"WITH {SIDES}, r AS (SELECT d, round(abs(sum((x0 - xf) * (y1 - yf) - (x1 - xf) * (y0 - yf))) / 2, 2) AS area, count(*) AS n FROM sides GROUP BY d)"
+META = f"WITH {SIDES}, r AS (SELECT d, round(abs(sum((x0 - xf) * (y1 - yf) - (x1 - xf) * (y0 - yf))) / 2 + 1e-8, 2) AS area, count(*) AS n FROM sides GROUP BY d)"
 
 
 def ring_clusters(v: Views) -> DataFrame:
-    r = v.ring_rows().select(F.col("d").alias("drawing_id"), F.lit(0).alias("cluster_id"), F.round(rings.area(F.col("ring")), 2).alias("area"), F.size("ring").alias("inners"))
+    r = v.ring_rows().select(F.col("d").alias("drawing_id"), F.lit(0).alias("cluster_id"), F.round(rings.area(F.col("ring")) + NUDGE, 2).alias("area"), F.size("ring").alias("inners"))
     return r.withColumn("custom", F.when(F.col("inners") > 4, F.create_map(F.lit("material"), F.lit("ALU"))))
 
 

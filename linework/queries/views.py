@@ -117,3 +117,7 @@ INTERVALS = "intervals AS (SELECT user_id AS d, event_id, epoch_us(ts) / 1e6 AS
 
 def rnd(e: str) -> str:
     return f"(round({e}, 6) + 0e0)"
+
+
+#: What is added before rounding values that are exact decimals: engines differ on ties.
+NUDGE = 1e-8
