@@ -16,7 +16,7 @@ from linework.llm.license_texts import TEXTS
 
 # Spellings that licence texts use for one another.
 EQUIVALENT = {
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement", "merchantibility": "merchantability",
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement", "merchantibility": "merchantability",
     "copyright owner": "copyright holder", "copyright owners": "copyright holders", "acknowledgement": "acknowledgment", "organisation": "organization", "favour": "favor", "fulfil": "fulfill", "per cent": "percent", "version": "v", "https": "http",
 }
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
