@@ -25,8 +25,8 @@ def code_of(vector: Column, bits: int = BITS) -> Column:
 
 
 def segment_count(rows: int, bits: int = BITS) -> int:
-    """Segments of about log2(rows) bits, so that a value has about one code."""
-    return max(2, min(8, round(bits / max(8.0, log2(max(rows, 2))))))
+    """Segments of three bits less than log2(rows): a value has about eight codes, and there are few values to probe."""
+    return max(2, min(8, round(bits / max(8.0, log2(max(rows, 2)) - 3))))
 
 
 def segments(m: int, bits: int = BITS) -> list[tuple[int, int]]:
