@@ -59,13 +59,14 @@ def nearest_codes(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
             open_.select("q", "bound", F.lit(i).alias("i"), part(F.col("q"), *s).alias("p"), F.explode(masks_at(s[1], r)).alias("x")).select("q", "bound", "i", F.col("p").bitwiseXOR(F.col("x")).bitwiseOR(F.lit(i << 40)).alias("key"))
             for i, s in enumerate(parts) if r <= s[1]
         ])
+        # sizes are guessed from before the explode: without the hint the probes would be broadcast, and they grow
         differ = F.col("q").bitwiseXOR(F.col("code"))
         first = F.lit(True)  # a code is met once: in the first of the segments where it is nearest, at that distance
         for j, s in enumerate(parts):
             apart = F.bit_count(part(differ, *s))
             first = first & F.when(F.col("i") > j, apart > r).otherwise(apart >= r)
         d = F.bit_count(differ)
-        fresh = probes.join(index, "key").where(first & (d <= F.col("bound"))).select("q", "code", "n", d.alias("d"))
+        fresh = probes.join(index.hint("merge"), "key").where(first & (d <= F.col("bound"))).select("q", "code", "n", d.alias("d"))
         seen = cut(fresh if seen is None else seen.unionAll(fresh), "seen")
         # rows at each distance, of which there are 65 at most: the distance at which there are k
         at = seen.groupBy("q", "d").agg(F.sum("n").alias("n")).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "n"))).alias("all"))
