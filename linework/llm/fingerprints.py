@@ -85,7 +85,7 @@ def block_links(fps: DataFrame, radius: int = RADIUS, hot_key: int = HOT_KEY) ->
         links.append(midpoint_links(cut(table.join(hot, "key", "left_semi").select("f").distinct(), "members"), radius))
         table = table.join(hot, "key", "left_anti")
     x, y = table.select("key", F.col("f").alias("a")), table.select("key", F.col("f").alias("b"))
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    pairs = x.join(y.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return reduce(DataFrame.unionAll, [pairs.select("a", "b").distinct(), *links])
 
 

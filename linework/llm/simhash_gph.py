@@ -236,7 +236,8 @@ def gph_links(fps: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET, midpoin
         for _, q in used[:i]:
             way = way & (F.bit_count(differ.bitwiseAND(F.lit(q.mask))) > q.threshold)
         ways = ways | way
-    pairs = probe.join(index, "key").where(meet & ways).select("a", "b")
+    # sizes are guessed from before the explode: the hint keeps either side from being broadcast at any size
+    pairs = probe.join(index.hint("merge"), "key").where(meet & ways).select("a", "b")
     return pairs if hubs is None else pairs.unionAll(hubs)
 
 
