@@ -166,32 +166,57 @@ def box_pairs(v: Views) -> DataFrame:
 PIP = f"{SIDES}, {POINTS}, q AS (SELECT id, 30 + x / 4 AS x, 25 + y / 4 AS y FROM points WHERE id < 60), g AS (SELECT * FROM sides WHERE d < 400), h AS (SELECT g.d, q.id, sum(CASE WHEN (y0 > q.y) <> (y1 > q.y) AND q.x < (x1 - x0) * (q.y - y0) / nullif(y1 - y0, 0) + x0 THEN 1 ELSE 0 END) % 2 = 1 AS inside, min(sqrt(pow(q.x - x0 - t * (x1 - x0), 2) + pow(q.y - y0 - t * (y1 - y0), 2))) AS dist FROM (SELECT g.*, q.id, q.x, q.y, greatest(0, least(1, ((q.x - x0) * (x1 - x0) + (q.y - y0) * (y1 - y0)) / nullif((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0), 0))) AS t FROM g, q) g JOIN q ON g.id = q.id GROUP BY g.d, q.id)"
 
 
-def pip(v: Views, reach: float = 0.0) -> DataFrame:
-    q = v.points().where("id < 60").select(F.lit(0).alias("g"), "id", (30 + F.col("x") / 4).alias("x"), (25 + F.col("y") / 4).alias("y"))
-    r = v.ring_rows().where("d < 400").select(F.lit(0).alias("g"), F.col("d").alias("ring_id"), "ring")
+def pip(v: Views, reach: float = 0.0, whole: bool = False) -> DataFrame:
+    """Points and the rings that cover them or are within reach. Without whole only the rows that PIP takes."""
+    points, ring_rows = v.points(), v.ring_rows()
+    if not whole:
+        points, ring_rows = points.where("id < 60"), ring_rows.where("d < 400")
+    q = points.select(F.lit(0).alias("g"), "id", (30 + F.col("x") / 4).alias("x"), (25 + F.col("y") / 4).alias("y"))
+    r = ring_rows.select(F.lit(0).alias("g"), F.col("d").alias("ring_id"), "ring")
     return R.points_in_rings(q, r, ["g"], reach)
 
 
 @query("join14_anchor_cover", f"WITH {PIP} SELECT id, min(d) AS ring_id FROM h WHERE inside GROUP BY id")
-def anchor_cover(v: Views) -> DataFrame:
-    """The first ring that covers each of sixty anchors."""
-    return pip(v).where("covers").groupBy("id").agg(F.min("ring_id").alias("ring_id"))
+def anchor_cover(v: Views, whole: bool = False) -> DataFrame:
+    """The first ring that covers each anchor."""
+    return pip(v, whole=whole).where("covers").groupBy("id").agg(F.min("ring_id").alias("ring_id"))
 
 
 @query("join18_texts_per_ring", f"WITH {PIP} SELECT d AS ring_id, count(*) AS n FROM h WHERE inside GROUP BY d")
-def texts_per_ring(v: Views) -> DataFrame:
-    return pip(v).where("covers").groupBy("ring_id").agg(F.count(F.lit(1)).alias("n"))
+def texts_per_ring(v: Views, whole: bool = False) -> DataFrame:
+    return pip(v, whole=whole).where("covers").groupBy("ring_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("join15_leader_target", f"WITH {PIP}, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, d) AS n FROM h WHERE dist <= 0.5) SELECT id, d AS target, {rnd('dist')} AS dist FROM k WHERE n = 1")
-def leader_target(v: Views) -> DataFrame:
-    near = pip(v, 0.5).where("d <= 0.5")
+def leader_target(v: Views, whole: bool = False) -> DataFrame:
+    near = pip(v, 0.5, whole).where("d <= 0.5")
     return R.nearest(near, ["id"], ["d", "ring_id"]).select("id", F.col("ring_id").alias("target"), r6(F.col("d")).alias("dist"))
 
 
 @query("join19_nearest_within", f"WITH {PIP} SELECT id, {rnd('min(dist)')} AS dist FROM h WHERE dist <= 2 GROUP BY id")
-def nearest_within(v: Views) -> DataFrame:
-    return pip(v, 2.0).where("d <= 2").groupBy("id").agg(F.min("d").alias("dist")).select("id", r6(F.col("dist")).alias("dist"))
+def nearest_within(v: Views, whole: bool = False) -> DataFrame:
+    return pip(v, 2.0, whole).where("d <= 2").groupBy("id").agg(F.min("d").alias("dist")).select("id", r6(F.col("dist")).alias("dist"))
+
+
+@query("join14_anchor_cover_whole")
+def anchor_cover_whole(v: Views) -> DataFrame:
+    """Of all points and rings; brute force in SQL is too slow for them, a test has it on the smallest tables."""
+    return anchor_cover(v, whole=True)
+
+
+@query("join18_texts_per_ring_whole")
+def texts_per_ring_whole(v: Views) -> DataFrame:
+    return texts_per_ring(v, whole=True)
+
+
+@query("join15_leader_target_whole")
+def leader_target_whole(v: Views) -> DataFrame:
+    return leader_target(v, whole=True)
+
+
+@query("join19_nearest_within_whole")
+def nearest_within_whole(v: Views) -> DataFrame:
+    return nearest_within(v, whole=True)
 
 
 @query("pred5_items_inside", f"WITH {SEGS} SELECT d, i FROM segs WHERE x0 BETWEEN 9 AND 41 AND x1 BETWEEN 9 AND 41 AND y0 BETWEEN 4 AND 31 AND y1 BETWEEN 4 AND 31")
