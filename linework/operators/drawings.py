@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linework.functions import rings
 from linework.functions import segments as S
+from linework.kernels import axis as A
 from linework.kernels import normalise as N
 from linework.kernels import planar as P
 from linework.kernels import reading as R
@@ -66,6 +67,17 @@ def contour_rows(drawing_id: int, found: R.Reading) -> list[tuple]:
     return rows
 
 
+def covered_rectangles(edges: DataFrame, min_side: float) -> DataFrame:
+    """drawing_id, x_lo, y_lo, x_hi, y_hi, edges: rectangles on the axes with four covered sides and the lines on them."""
+
+    def of(drawing_id: int, own: pd.DataFrame) -> list[tuple]:
+        lines = list(zip(own.edge_id.astype(int), own.x0, own.y0, own.x1, own.y1, strict=True))
+        return [(drawing_id, *found) for found in A.covered_rectangles(lines, min_side)]
+
+    lines = edges.where("seg.kind = 'line'").select("drawing_id", "edge_id", "seg.x0", "seg.y0", "seg.x1", "seg.y1")
+    return each_drawing(lines, of, "drawing_id long, x_lo double, y_lo double, x_hi double, y_hi double, edges array<int>", by_frame=True)
+
+
 def heal_drawings(edges: DataFrame, tolerance: float = DEFAULT_TOLERANCE, structural: tuple[str, ...] = ()) -> DataFrame:
     """edges (EDGES) of many drawings: their contours with cluster, depth and parent, the edges that are none (kind
     trash) and what is to be said about the drawing (kind warning or error). Drawings are independent: one shuffle."""

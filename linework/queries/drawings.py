@@ -132,15 +132,22 @@ def weld_short_lines(v: Views) -> DataFrame:
 
 
 @query("agg16_refit_tessellations", "SELECT p_partkey AS d, 'circle' AS kind, 1::BIGINT AS edges FROM part WHERE p_partkey <= 200")
-def refit_tessellations(v: Views) -> DataFrame:
-    """Circles drawn as 60 short lines (of the first 200 parts: the number of drawings is the fixture) become circles."""
+def refit_tessellations(v: Views, whole: bool = False) -> DataFrame:
+    """Circles drawn as 60 short lines become circles. Without whole those of 200 parts, as in the SQL."""
     at = lambda i: S.on_circle(F.lit(5.0), F.lit(5.0), F.lit(0.5), i * 0.10471975511965977)
     segs = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: S.line(at(i)["x"], at(i)["y"], at(i + 1)["x"], at(i + 1)["y"]))
-    p = v.table("part").where("p_partkey <= 200").select(F.col("p_partkey").alias("drawing_id"), F.posexplode(segs).alias("edge_id", "seg"))
+    parts = v.table("part") if whole else v.table("part").where("p_partkey <= 200")
+    p = parts.select(F.col("p_partkey").alias("drawing_id"), F.posexplode(segs).alias("edge_id", "seg"))
     e = D.refit_tessellations(p.select("drawing_id", F.col("edge_id").cast("int").alias("edge_id"), F.lit("unknown").alias("role"), "seg", F.lit(None).cast(STYLE).alias("style")))
     return e.groupBy(F.col("drawing_id").alias("d"), F.col("seg.kind").alias("kind")).agg(F.count(F.lit(1)).alias("edges"))
 
 
+@query("agg16_refit_tessellations_whole")
+def refit_tessellations_whole(v: Views) -> DataFrame:
+    """Of all parts."""
+    return refit_tessellations(v, whole=True)
+
+
 @query("agg18_longest_structural", f"WITH {SIDES}, l AS (SELECT d, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len FROM sides) SELECT d, {rnd('max(len)')} AS length FROM l GROUP BY d")
 def longest_structural(v: Views) -> DataFrame:
     return D.longest_segment(v.edges()).select(F.col("drawing_id").alias("d"), r6(F.col("length")).alias("length"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.functions import build, rings, shapes
 from linework.functions import segments as S
+from linework.kernels.primitives import refined
 from linework.queries.views import ARCS, BOXES, CIRCLES, NUDGE, POINTS, SEGS, SIDES, Views, query, r6, rnd
 
 
@@ -161,9 +164,33 @@ def rotate_point(v: Views) -> DataFrame:
 
 
 @query("proj12_bezier_samples", f"WITH {SEGS}, t AS (SELECT d, i, x0, y0, x1, y1, unnest(range(0, 17)) AS k FROM segs WHERE i = 0) SELECT d, k::INTEGER AS k, {rnd('1e-8 + (1 - k / 16) ^ 3 * x0 + 3 * (1 - k / 16) ^ 2 * (k / 16) * x0 + 3 * (1 - k / 16) * (k / 16) ^ 2 * x1 + (k / 16) ^ 3 * x1')} AS x, {rnd('1e-8 + (1 - k / 16) ^ 3 * y0 + 3 * (1 - k / 16) ^ 2 * (k / 16) * y1 + 3 * (1 - k / 16) * (k / 16) ^ 2 * y0 + (k / 16) ^ 3 * y1')} AS y FROM t")
-def bezier_samples(v: Views) -> DataFrame:
+def bezier_samples(v: Views, whole: bool = False) -> DataFrame:
+    """17 even samples of a curve over each segment. Without whole over first segments only, as in the SQL."""
     b = S.bezier(S.point("x0", "y0"), S.point("x0", "y1"), S.point("x1", "y0"), S.point("x1", "y1"))
-    return v.segs().where("i = 0").select("d", F.posexplode(b).alias("k", "p")).select("d", "k", r6(F.col("p.x") + NUDGE).alias("x"), r6(F.col("p.y") + NUDGE).alias("y"))
+    segs = v.segs() if whole else v.segs().where("i = 0")
+    return segs.select("d", *["i"] * whole, F.posexplode(b).alias("k", "p")).select("d", *["i"] * whole, "k", r6(F.col("p.x") + NUDGE).alias("x"), r6(F.col("p.y") + NUDGE).alias("y"))
+
+
+@query("proj12_bezier_samples_whole")
+def bezier_samples_whole(v: Views) -> DataFrame:
+    """Over all segments, i is the segment's."""
+    return bezier_samples(v, whole=True)
+
+
+@query("proj12_adaptive_polyline")
+def adaptive_polyline(v: Views) -> DataFrame:
+    """The same curves over all segments, eight even steps halved until each is within 0.05 of the curve."""
+
+    def points(frames):
+        for x in frames:
+            out = []
+            for d, i, x0, y0, x1, y1 in zip(x.d, x.i, x.x0, x.y0, x.x1, x.y1, strict=True):
+                c = np.array([(x0, y0), (x0, y1), (x1, y0), (x1, y1)])
+                at = lambda t, c=c: np.stack([(1 - t) ** 3, 3 * (1 - t) ** 2 * t, 3 * (1 - t) * t**2, t**3], axis=-1) @ c
+                out += [(d, i, k, px, py) for k, (px, py) in enumerate(refined(at, 0.0, 1.0, 8, 0.05))]
+            yield pd.DataFrame(out, columns=["d", "i", "k", "x", "y"])
+
+    return v.segs().mapInPandas(points, "d long, i int, k int, x double, y double").select("d", "i", "k", r6(F.col("x") + NUDGE).alias("x"), r6(F.col("y") + NUDGE).alias("y"))
 
 
 @query("proj28_polygon_ring", f"WITH {SIDES} SELECT d, i::INTEGER AS i, {rnd('x0')} AS x0, {rnd('y0')} AS y0, {rnd('x1')} AS x1, {rnd('y1')} AS y1 FROM sides")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 from linework.functions import segments as S
+from linework.operators import drawings as D
 from linework.plans import relational as R
 from linework.queries.views import BOXES, CIRCLES, INTERVALS, NUDGE, POINTS, SEGS, SIDES, Views, query, r6, rnd
 
@@ -157,12 +158,24 @@ def hierarchy_order(v: Views) -> DataFrame:
 
 
 @query("join26_covered_boxes", f"WITH {BOXES} SELECT a.id AS id, b.id AS other FROM boxes a JOIN boxes b ON a.d = b.d AND a.id < b.id AND a.x_lo <= b.x_hi AND b.x_lo <= a.x_hi AND a.y_lo <= b.y_hi AND b.y_lo <= a.y_hi WHERE a.id % 7 = 0 AND b.id % 7 = 0")
-def box_pairs(v: Views) -> DataFrame:
-    """Boxes that overlap, by the grid join (every seventh part is a drawing of its own kind)."""
-    b = v.boxes().where("id % 7 = 0").select("d", "id", F.struct("x_lo", "y_lo", "x_hi", "y_hi").alias("box"))
+def box_pairs(v: Views, whole: bool = False) -> DataFrame:
+    """Boxes that overlap, by the grid join. Without whole only every seventh box, as in the SQL; no covered rectangles."""
+    b = (v.boxes() if whole else v.boxes().where("id % 7 = 0")).select("d", "id", F.struct("x_lo", "y_lo", "x_hi", "y_hi").alias("box"))
     return R.grid_join(b, b, ["d"], 0.0, 8.0).where("l.id < r.id").select(F.col("l.id").alias("id"), F.col("r.id").alias("other"))
 
 
+@query("box_pairs_whole")
+def box_pairs_whole(v: Views) -> DataFrame:
+    """All boxes that overlap. The pairs of a place grow with the square of its boxes."""
+    return box_pairs(v, whole=True)
+
+
+@query("join26_covered_rectangles")
+def covered_rectangles(v: Views) -> DataFrame:
+    """Rectangles of the plates whose four sides are covered, with the edges on them."""
+    return D.covered_rectangles(v.plates(), 2.0).select(F.col("drawing_id").alias("d"), *[r6(F.col(c)).alias(c) for c in ("x_lo", "y_lo", "x_hi", "y_hi")], "edges")
+
+
 PIP = f"{SIDES}, {POINTS}, q AS (SELECT id, 30 + x / 4 AS x, 25 + y / 4 AS y FROM points WHERE id < 60), g AS (SELECT * FROM sides WHERE d < 400), h AS (SELECT g.d, q.id, sum(CASE WHEN (y0 > q.y) <> (y1 > q.y) AND q.x < (x1 - x0) * (q.y - y0) / nullif(y1 - y0, 0) + x0 THEN 1 ELSE 0 END) % 2 = 1 AS inside, min(sqrt(pow(q.x - x0 - t * (x1 - x0), 2) + pow(q.y - y0 - t * (y1 - y0), 2))) AS dist FROM (SELECT g.*, q.id, q.x, q.y, greatest(0, least(1, ((q.x - x0) * (x1 - x0) + (q.y - y0) * (y1 - y0)) / nullif((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0), 0))) AS t FROM g, q) g JOIN q ON g.id = q.id GROUP BY g.d, q.id)"
 
 
