@@ -29,19 +29,24 @@ GROUP_COUNTS = (2, 3, 4, 5)
 WIDEN = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def simhash(text: str | None, k: int, words: int = 1) -> list[int]:
-    """Majority votes of the k-word shingles of a text, words * 64 bits, as signed 64-bit integers; no word gives zeros."""
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """A hash for each k-word shingle of a text, repeats too; all words make one where they are fewer than k."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return [0] * words
     joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) < k:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = np.cumsum([len(x) + 1 for x in parts]).tolist()
-        starts = [0, *ends]
-        hashes = [digest(joined[starts[i] : ends[i + k - 1] - 1], 42) for i in range(len(parts) - k + 1)]
-    h, out = np.array(hashes, dtype=np.uint64), []
+        return np.array([digest(joined, 42)] if parts else [], dtype=np.uint64)
+    ends = np.cumsum([len(x) + 1 for x in parts]).tolist()
+    starts = [0, *ends]
+    return np.array([digest(joined[starts[i] : ends[i + k - 1] - 1], 42) for i in range(len(parts) - k + 1)], dtype=np.uint64)
+
+
+def simhash(text: str | None, k: int, words: int = 1) -> list[int]:
+    """Majority votes of the k-word shingles of a text, words * 64 bits, as signed 64-bit integers; no word gives zeros."""
+    return voted(shingle_hashes(text, k), words)
+
+
+def voted(h: np.ndarray, words: int) -> list[int]:
+    out = []
     for w in range(words):
         x = h if not w else (h * np.uint64(WIDEN[w - 1])) ^ ((h * np.uint64(WIDEN[w - 1])) >> np.uint64(29))
         votes = np.zeros(BITS, dtype=np.int64)
@@ -272,45 +277,102 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str
     return rows.join(of, "f").select("doc_id", "f", "component_id")
 
 
-#: For the filter: words in a shingle, steps of the search radius, bits that are compared in all, and the likeness asked for.
-SHINGLE, STEPS, WIDE, LIKENESS = 5, (4, 8, 12), 4, 0.8
+#: For the filter: words in a shingle, (word of the wide fingerprint, radius) of each search, bits that are compared in
+#: all, and the likeness asked for. Words are nearly independent: a pair that one misses at 12 bits another one finds.
+SHINGLE, STEPS, WIDE, LIKENESS = 5, ((0, 4), (0, 8), (0, 12), (1, 12), (2, 12)), 4, 0.8
+#: Standard deviations that a candidate's differing bits may be above their mean; the shingles themselves decide.
+DEVIATIONS = 4
 
 
 def widest(similarity: float, bits: int) -> int:
-    """Differing bits, of so many, that texts of this Jaccard similarity stay within; one standard deviation is added."""
+    """Differing bits, of so many, that texts of this Jaccard similarity stay within, but for a few in a hundred thousand."""
     cosine = 2 * similarity / (1 + similarity)
     p = float(np.arccos(cosine) / np.pi)
-    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p + DEVIATIONS * (bits * p * (1 - p)) ** 0.5)
+
+
+def described(text: Column, k: int) -> Column:
+    """Wide fingerprint, number of distinct shingles and 128 bits that tell their set."""
+
+    def describe(t: str | None) -> tuple:
+        h = shingle_hashes(t, k)
+        distinct = np.unique(h)
+        own = np.frombuffer(xxhash.xxh128_digest(distinct.tobytes()), dtype=np.int64)
+        return voted(h, WIDE), len(distinct), int(own[0]), int(own[1])
+
+    @F.pandas_udf("w array<bigint>, size bigint, node bigint, more bigint")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([describe(t) for t in texts], columns=["w", "size", "node", "more"])
+
+    return of(text)
+
+
+def shingle_sets(docs: DataFrame, ends: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """ends: node, id, h: (node, s), the distinct shingles of the text that has this id and hash."""
+
+    @F.pandas_udf("array<bigint>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, k)).view(np.int64) for t in texts], dtype=object)
+
+    told = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("g"))
+    own = told.join(ends, F.col("i").eqNullSafe(F.col("id")) & (F.col("g") == F.col("h"))).select("node", "t").dropDuplicates(["node"])
+    return own.select("node", of("t").alias("s"))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least this Jaccard similarity."""
+    x, y = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after the nodes of each link (a, b) got into one group."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    merged = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    return cut(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, steps: tuple[int, ...] = STEPS, similarity: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, steps: tuple[tuple[int, int], ...] = STEPS, similarity: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which no near-duplicate with a smaller id exists: one document of each group stays.
 
-    Groups are the components of links between texts of at least this similarity, as their fingerprints of 4 x 64 bits
-    show it (widest()). Candidates come from the first 64 bits, in growing radii; what is linked at one radius is one
-    group at the next, where only pairs between groups are looked at, so large groups of copies do not make all pairs.
+    Groups are the components of links between texts whose sets of shingles have at least this Jaccard similarity.
+    Fingerprints of 4 x 64 bits give the candidates, each is verified by its shingles. Candidates come from one word of
+    the fingerprint, in growing radii; what is linked at one radius is one group at the next, where only pairs between
+    groups are looked at, so large groups of copies do not make all pairs.
     Columns stay as they are. Of rows that repeat an id, the first text in order stays; null ids come last."""
-    fp, row = unused(docs, "fp", "row")
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), simhash_column(F.col(text_col), k, WIDE).alias("w"))
-    rows = cut(keyed.groupBy("id", "h", "w").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
-    wide = cut(rows.groupBy("w").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("least")).select("w", "least"), "distinct")
-    # one node for each wide fingerprint; its number is a hash, checked by the join on the fingerprint itself
-    nodes = cut(wide.select(F.xxhash64("w").alias("node"), "w", F.col("w")[0].alias("f"), "least"), "nodes")
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), described(F.col(text_col), k).alias("x"))
+    rows = cut(keyed.groupBy("id", "h", "x").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
+    # one node for each set of shingles
+    least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h", F.col("x.w").alias("w"))).alias("least")
+    nodes = cut(rows.groupBy("x.node", "x.more", "x.size").agg(least).select("node", "size", "least.w", "least"), "nodes")
     labels = nodes.select("node", F.col("node").alias("label"))
     fewest = widest(similarity, BITS * WIDE)
-    for radius in steps:
-        now = cut(nodes.join(labels, "node").select("node", "w", "f", "label"), "now")
+    for word, radius in steps:
+        now = cut(nodes.select("node", "size", "w", F.col("w")[word].alias("f")).join(labels, "node"), "now")
         one = now.groupBy("f").agg(F.min("label").alias("c"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n"))
         fps = cut(one.select("f", F.when(F.col("c") == F.col("most"), F.col("c")).alias("c"), "n"), "fps")
-        near = gph_links(fps.select("f", F.coalesce("c", F.col("f")).alias("c")), radius, midpoints=False)
+        near = gph_links(fps.select("f", F.coalesce("c", F.col("f")).alias("c")), radius, midpoints=radius <= 4)
         near = near.unionAll(fps.where("n > 1 and c is null").select(F.col("f").alias("a"), F.col("f").alias("b")))
-        x, y = (now.select(F.col("f").alias(s), F.col("w").alias(f"w{s}"), F.col("label").alias(f"l{s}")) for s in "ab")
+        x, y = (now.select(F.col("f").alias(s), F.col("w").alias(f"w{s}"), F.col("label").alias(f"l{s}"), F.col("node").alias(f"n{s}"), F.col("size").alias(f"z{s}")) for s in "ab")
         apart = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(1, WIDE)), F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])))
-        found = near.join(x, "a").join(y, "b").where((F.col("la") != F.col("lb")) & (apart <= fewest)).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        merged = components(found)
-        labels = cut(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        sized = F.least("za", "zb") >= similarity * F.greatest("za", "zb") - 1e-9
+        found = near.join(x, "a").join(y, "b").where((F.col("la") != F.col("lb")) & (apart <= fewest) & sized)
+        found = cut(found.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "candidates")
+        if found.isEmpty():
+            continue
+        ends = found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct()
+        ends = cut(nodes.join(ends, "node").select("node", "least.id", "least.h"), "ends")
+        sets = cut(shingle_sets(docs, ends, k, id_col, text_col), "sets")
+        # one pair of each node first: what it links need not be compared pair by pair
+        first = cut(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+        labels = relabelled(labels, cut(alike(first, sets, similarity), "links"))
+        la, lb = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        rest = cut(found.join(first, ["a", "b"], "left_anti").join(la, "a").join(lb, "b").where("la <> lb").select("a", "b"), "rest")
+        if not rest.isEmpty():
+            labels = relabelled(labels, cut(alike(rest, sets, similarity), "links"))
     named = nodes.join(labels, "node")
-    kept = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.id").alias("id"), F.col("least.h").alias("h"))
+    kept = named.groupBy("label").agg(F.min(F.struct("least.no", "least.id", "least.h")).alias("least")).select(F.col("least.id").alias("id"), F.col("least.h").alias("h"))
     kept = cut(kept, "kept")
     repeated = cut(rows.where("n > 1").select("id", "h").join(kept, ["id", "h"], "left_semi"), "repeated")
     return keep_first(docs, kept, repeated, id_col, text_col)
