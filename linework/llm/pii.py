@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from linework.llm.common import cut, union, unused
 
 KEY = "linework-demo-key"  # a secret of the deployment; this one is for tests
-#: Most times a surrogate is drawn anew; each draw has new hash bits, so a second one is rare and a tenth does not occur.
+#: Most times a surrogate is drawn anew; each draw has new hash bits, and names get one more syllable in each.
 MOST_DRAWS = 12
 
 # Patterns of the entities, first match wins, and names by gender and script.
@@ -30,6 +30,9 @@ SURNAMES_LATIN = ["Alder", "Bergmann", "Castell", "Dorval", "Eriksen", "Farrow",
 FEMALE_CYRILLIC = ["Анна", "Вера", "Елена", "Ирина", "Мария", "Ольга"]
 MALE_CYRILLIC = ["Антон", "Борис", "Иван", "Олег", "Павел", "Юрий"]
 SURNAMES_CYRILLIC = ["Белов", "Волков", "Громов", "Данилов", "Зимин", "Крылов", "Лебедев", "Морозов"]
+# by consonant and vowel: what a redrawn surname gets more of
+SYLLABLES_LATIN = [c + v for c in "bdfghklmnprstvwz" for v in "aeio"]
+SYLLABLES_CYRILLIC = [c + v for c in "бвгдзклмнпрстфхш" for v in "аеио"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Г-жа"]
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"]
 TITLES = "|".join([*FEMALE_TITLES, *MALE_TITLES])
@@ -100,6 +103,9 @@ def surrogate(canon: Column, kind: Column, draw: Column, key: str = KEY, gender:
     last = F.when(cyrillic, choose(SURNAMES_CYRILLIC, wide(1))).otherwise(choose(SURNAMES_LATIN, wide(1)))
     # a list of names is short: more syllables, from the hash, keep different people apart
     more = F.when(cyrillic, choose(["ский", "ин", "ев", "ко"], wide(7))).otherwise(F.concat(choose(["", "ton", "ley", "mark", "stad", "berg", "court", "well"], wide(7)), choose(["", "son", "sen", "er", "ard", "is", "ovan", "ell"], wide(13))))
+    # each draw has 64 times the names of the one before, so what does not fit into one finds room in the next
+    grown = lambda values: F.array_join(F.slice(F.array(*[choose(values, wide(25 + 6 * j)) for j in range(MOST_DRAWS)]), F.lit(1), draw), "")
+    last = F.when(draw > 0, F.concat(last, F.when(cyrillic, grown(SYLLABLES_CYRILLIC)).otherwise(grown(SYLLABLES_LATIN)))).otherwise(last)
     first = F.when(female & cyrillic, choose(FEMALE_CYRILLIC, wide(19))).when(cyrillic, choose(MALE_CYRILLIC, wide(19))).when(female, choose(FEMALE_LATIN, wide(19))).otherwise(choose(MALE_LATIN, wide(19)))
     name = F.when(canon.contains(" "), F.concat(first, F.lit(" "), last, more)).otherwise(F.concat(last, more))
     return F.when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "name", name).otherwise(shaped)
