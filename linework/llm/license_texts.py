@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 _GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
 _BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
@@ -53,3 +55,17 @@ TEXTS: list[tuple[str, str]] = [
     ("MIT", "Licensed under the MIT License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
 ]
+
+
+def _full() -> list[tuple[str, str]]:
+    """Entire texts in license_data, and where the terms have an end before an appendix, the terms alone."""
+    out = []
+    for path in sorted((Path(__file__).parent / "license_data").glob("*.txt")):
+        text, end = path.read_text(encoding="utf-8"), "END OF TERMS AND CONDITIONS"
+        out.append((path.stem, text))
+        if end in text:
+            out += [(path.stem, text[: text.index(end) + len(end)]), (path.stem, text[: text.index(end)])]
+    return out
+
+
+TEXTS += _full()

@@ -1,6 +1,6 @@
 """Licence scans by canonical digest, in DataFrame operations only.
 
-A text is brought to a canonical form: lower case, equivalent spellings made one, copyright lines and punctuation gone,
+A text is brought to a canonical form: lower case, equivalent spellings made one, copyright lines, list markers and punctuation gone,
 one space between words. Its digest is looked up among the digests of the known licence texts by a hash join. Whole
 documents are looked up, and so is each of their lines, for notices."""
 
@@ -19,13 +19,16 @@ EQUIVALENT = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement", "merchantibility": "merchantability",
     "copyright owner": "copyright holder", "copyright owners": "copyright holders", "acknowledgement": "acknowledgment", "organisation": "organization", "favour": "favor", "fulfil": "fulfill", "per cent": "percent", "version": "v", "https": "http",
 }
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that say whose work it is: with a sign, a year or nothing but the phrase; wrapped text may start with the word too.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b[^\n]*?(?:\(c\)|©|\b(?:19|20)[0-9]{2}\b)[^\n]*|\(c\) *(?:copyright|(?:19|20)[0-9]{2})[^\n]*|©[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
+#: Numbers and bullets of lists: at the start of a line or of a sentence.
+MARKER = r"(?m)(?:^|(?<=[.:;])[ \t])[ \t]*(?:[*•·-]+|\(?(?:[0-9]{1,2}|[a-z])[.)])\s+"
 #: Each known text has one of these words, in one of its spellings; texts without any are none of them.
 SIGNS = ("licen", "permission", "redistribution")
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), MARKER, " ")
     out = F.concat(F.lit(" "), F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     return F.btrim(reduce(lambda t, x: F.replace(t, F.lit(f" {x[0]} "), F.lit(f" {x[1]} ")), EQUIVALENT.items(), out))
 
