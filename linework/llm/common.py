@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linework.plans.shared import cut
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The ASCII white space that separates words: \x20 and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -19,25 +19,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = "file://" + tempfile.mkdtemp(prefix="linework-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, a lost executor costs nothing that is
-    already written, and Spark knows the real size when it picks a join. The files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linework-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
@@ -57,21 +38,26 @@ def unused(df: DataFrame, *wanted: str) -> list[str]:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, label), label the smallest node that is reachable.
 
-    Each round every node points to its smallest neighbour, pointers are followed twice and edges are contracted, so
-    the number of nodes at least halves; work in a round is joins and partial aggregates on what is left. Loops and
-    repeated edges are allowed; nodes without an edge to another node are absent; no edges give no rows."""
+    Each round every node points to its smallest neighbour, pointers are followed twice and edges are contracted; the
+    smaller node is the one of smaller hash, so however nodes are numbered a fixed share of them goes in each round.
+    Joins are merge joins at every size: nothing is sent to the driver. Loops and repeated edges are allowed; nodes
+    without an edge to another node are absent; no edges give no rows."""
     tidy = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    labels, left = None, cut(tidy(edges), "edges")
-    while labels is None or not left.isEmpty():
+    by_hash = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    left = first = cut(tidy(edges), "edges")
+    steps = []
+    while not left.isEmpty():
         both = left.unionAll(left.select("b", "a"))
-        to = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "up")
-        far = to.alias("x").join(to.alias("y"), F.col("x.up") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.up").alias("up"))
-        far = cut(far, "far")
-        moved = left.join(far.select(F.col("node").alias("a"), F.col("up").alias("a2")), "a").join(far.select(F.col("node").alias("b"), F.col("up").alias("b2")), "b")
-        left = cut(tidy(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b"))), "edges")
-        if labels is None:
-            labels = far.select("node", F.col("up").alias("label"))
-        else:
-            labels = labels.join(far.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-        labels = cut(labels, "labels")
-    return labels
+        to = both.groupBy("a").agg(F.min(by_hash("b")).alias("m")).select(F.col("a").alias("node"), F.least(by_hash("a"), "m")["n"].alias("up"))
+        far = to.alias("x").join(to.hint("merge").alias("y"), F.col("x.up") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.up").alias("up"))
+        steps.append(far := cut(far, "far"))
+        one = left.join(far.hint("merge").select(F.col("node").alias("a"), F.col("up").alias("a2")), "a").select("a2", "b")
+        left = cut(tidy(one.join(far.hint("merge").select(F.col("node").alias("b"), F.col("up").alias("b2")), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))), "edges")
+    if not steps:
+        return first.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    roots = steps[0].select("node", F.col("up").alias("root"))
+    for far in steps[1:]:
+        roots = roots.join(far.hint("merge").select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    roots = cut(roots, "roots")
+    least = roots.groupBy("root").agg(F.min("node").alias("label"))
+    return cut(roots.join(least.hint("merge"), "root").select("node", "label"), "labels")
