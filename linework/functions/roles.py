@@ -12,9 +12,10 @@ from linework.schema import INNER, OUTER, UNKNOWN
 SLUG_CHARS = 64
 #: Difference of marks, as a share of the whole pattern, beyond which a dashed line is a chain line.
 MARK_DIFFERENCE = 0.05
-# Palette index and colour of the engine's roles, and their layers.
-PALETTE = {UNKNOWN: (7, "#ffffff"), OUTER: (3, "#00ff00"), INNER: (5, "#0000ff"), "trash": (1, "#ff0000"), "annotation": (2, "#ffff00")}
-LAYERS = {OUTER: "OUTER", INNER: "INNER", UNKNOWN: "TRASH"}
+# Colour index by role (consumer: roles that only callers know), colours of the indices, layers by role.
+PALETTE = {OUTER: 3, INNER: 2, "trash": 1, "annotation": 7, "consumer": 8}
+INDEX_HEX = {1: "#ff0000", 2: "#ffff00", 3: "#00ff00", 4: "#00ffff", 5: "#0000ff", 6: "#ff00ff", 7: "#ffffff", 8: "#808080", 9: "#c0c0c0", 11: "#ff7f7f"}
+LAYERS = {OUTER: "OuterContour", INNER: "InnerContour", "annotation": "Annotation", "trash": "Trash"}
 COLOR_NAMES = {"red": 1, "yellow": 2, "green": 3, "cyan": 4, "blue": 5, "magenta": 6, "white": 7, "byblock": 0, "bylayer": 256}
 
 
@@ -98,14 +99,34 @@ def dash_kind(pattern: Column) -> Column:
 
 @dataclass(frozen=True)
 class RoleStyle:
-    """How a role is drawn; None leaves the default."""
+    """How a role is drawn; None leaves the default. color is red, green and blue, 0 to 255 each."""
 
-    color: int | None = None
+    color: tuple[int, int, int] | None = None
     linetype: str | None = None
-    lineweight: int | None = None
+    lineweight: float | None = None
     layer_name: str | None = None
 
 
+_registered: dict[str, RoleStyle] = {}
+
+
+def register_role_style(role: str, style: RoleStyle) -> None:
+    """From now on the driver's plans draw the role in this style; one that is given with a call wins."""
+    _registered[role] = style
+
+
+def forget_role_style(role: str) -> None:
+    _registered.pop(role, None)
+
+
+def registered_role_styles() -> dict[str, RoleStyle]:
+    return dict(_registered)
+
+
+def _styles(styles: dict[str, RoleStyle] | None) -> dict[str, RoleStyle]:
+    return _registered | (styles or {})
+
+
 def _lookup(role: Column, values: dict[str, object], default: Column) -> Column:
     out = default
     for k, v in values.items():
@@ -113,23 +134,29 @@ def _lookup(role: Column, values: dict[str, object], default: Column) -> Column:
     return out
 
 
-def role_color(role: Column, styles: dict[str, RoleStyle] | None = None) -> Column:
-    """Palette index: that of a given style wins; roles of callers have the palette's index of unknown."""
-    own = {k: s.color for k, s in (styles or {}).items() if s.color is not None}
-    return _lookup(role, {k: v[0] for k, v in PALETTE.items()} | own, F.lit(PALETTE[UNKNOWN][0]))
+def _own_or_consumer(role: Column, own: dict[str, int], unknown: str) -> Column:
+    known = _lookup(role, own, F.lit(PALETTE["consumer"]))
+    return F.when(role.isNull() | (role == "") | (role == unknown), PALETTE["trash"]).otherwise(known)
+
+
+def role_color(role: Column) -> Column:
+    """Colour index: the engine's for its roles, that of consumers for callers' roles, that of trash for unknown."""
+    return _own_or_consumer(role, {k: PALETTE[k] for k in (OUTER, INNER)}, UNKNOWN)
 
 
 def role_hex(role: Column, styles: dict[str, RoleStyle] | None = None, fallback: str = "#ff0000") -> Column:
-    by_index = {i: h for i, h in PALETTE.values()}
-    own = {k: by_index.get(s.color, fallback) for k, s in (styles or {}).items() if s.color is not None}
-    return _lookup(role, {k: v[1] for k, v in PALETTE.items()} | own, F.lit(fallback))
+    """Colour of a style if the role has one, else that of its index."""
+    own = {k: "#" + bytes(s.color).hex() for k, s in _styles(styles).items() if s.color is not None}
+    return _lookup(role, own, F.coalesce(_lookup(role_color(role), INDEX_HEX, F.lit(None).cast("string")), F.lit(fallback)))
 
 
 def role_layer(role: Column, styles: dict[str, RoleStyle] | None = None) -> Column:
-    """Layer of a role: the engine's, a given style's name, else the slug in capitals; unknown goes to trash."""
-    own = {k: s.layer_name for k, s in (styles or {}).items() if s.layer_name}
-    return _lookup(role, LAYERS | own, F.upper(normalize_role(role)))
+    """Layer of a role: the engine's, a style's name, else the slug itself; unknown goes to trash."""
+    own = {k: s.layer_name for k, s in _styles(styles).items() if s.layer_name}
+    slug = normalize_role(role)
+    return _lookup(role, own | {k: LAYERS[k] for k in (OUTER, INNER)}, F.when(slug == UNKNOWN, LAYERS["trash"]).otherwise(slug))
 
 
 def layer_color(layer: Column) -> Column:
-    return _lookup(layer, {v: PALETTE[k][0] for k, v in LAYERS.items() if k != UNKNOWN} | {"TRASH": PALETTE["trash"][0], "ANNOTATION": PALETTE["annotation"][0]}, F.lit(7))
+    """Colour index of a layer: the engine's, that of consumers for others, that of trash without a name."""
+    return _own_or_consumer(layer, {v: PALETTE[k] for k, v in LAYERS.items()}, LAYERS["trash"])

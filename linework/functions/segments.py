@@ -138,9 +138,10 @@ def discretize(s: Column, tolerance: float = SAGITTA) -> Column:
 
 
 def arc_from_chord(x0, y0, x1, y1, bulge) -> Column:
-    """Arc through two points with a bulge (tangent of a quarter of the sweep, negative clockwise); zero is an error."""
+    """Arc through two points with a bulge (tangent of a quarter of the sweep, negative clockwise); null for a bulge of zero,
+    which is a line."""
     x0, y0, x1, y1, b = map(col, (x0, y0, x1, y1, bulge))
-    b = F.when(b != 0, b).otherwise(F.raise_error(F.lit("a bulge of zero is a line")).cast("double"))
+    b = F.when(b != 0, b)
     half = (1 / b - b) / 4
     cx, cy = (x0 + x1) / 2 - (y1 - y0) * half, (y0 + y1) / 2 + (x1 - x0) * half
     r = F.sqrt((x0 - cx) * (x0 - cx) + (y0 - cy) * (y0 - cy))

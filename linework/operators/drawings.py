@@ -54,7 +54,10 @@ def each_drawing(df: DataFrame, f: Callable, schema, order: str = "edge_id", by_
         if held:
             yield rows(pd.concat(held))
 
-    dealt = df.where("drawing_id is not null").repartition("drawing_id").sortWithinPartitions("drawing_id", order)
+    # an explicit number: partitions of few bytes would be merged, though the work is in the kernel
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = df.where("drawing_id is not null").repartition(n, "drawing_id").sortWithinPartitions("drawing_id", order)
     return dealt.mapInPandas(run, schema)
 
 
@@ -67,6 +70,52 @@ def contour_rows(drawing_id: int, found: R.Reading) -> list[tuple]:
     return rows
 
 
+def spanning_lines(edges: DataFrame, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """drawing_id, ys, xs: where level and upright lines cross the bounds from side to side."""
+
+    def of(drawing_id: int, own: pd.DataFrame) -> list[tuple]:
+        return [(drawing_id, *A.spanning_lines(bounds, _lines(own)))]
+
+    return each_drawing(edges.select("drawing_id", "edge_id", *_line_columns()), of, "drawing_id long, ys array<double>, xs array<double>", by_frame=True)
+
+
+def bridged_runs(edges: DataFrame, bridges: DataFrame) -> DataFrame:
+    """drawing_id, x0, y0, x1, y1, edges: rows of lines on one straight line whose gaps lie in bridges (drawing_id,
+    rings, one row a drawing)."""
+
+    def of(drawing_id: int, own: pd.DataFrame) -> list[tuple]:
+        rings = own.rings.iloc[0]
+        found = A.bridged_runs(_lines(own), [] if rings is None else [[(p["x"], p["y"]) for p in r] for r in rings])
+        return [(drawing_id, *run) for run in found]
+
+    both = edges.select("drawing_id", "edge_id", *_line_columns()).join(bridges.select("drawing_id", "rings"), "drawing_id", "left")
+    return each_drawing(both, of, "drawing_id long, x0 double, y0 double, x1 double, y1 double, edges array<int>", by_frame=True)
+
+
+def _line_columns() -> list:
+    return [F.col(f"seg.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]
+
+
+def _lines(own: pd.DataFrame) -> list[tuple]:
+    return list(zip(own.edge_id.astype(int), own.x0, own.y0, own.x1, own.y1, strict=True))
+
+
+def inspect_edges(edges: DataFrame) -> DataFrame:
+    """drawing_id, text: how many edges a drawing has, by role and by kind, and their length."""
+    by = edges.groupBy("drawing_id", "role", F.col("seg.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(S.length(F.col("seg"))).alias("length"))
+    told = F.array_sort(F.collect_list(F.format_string("%s %s: %d, length %.2f", "role", "kind", "n", "length")))
+    text = F.concat(F.lit("edges: "), F.sum("n").cast("string"), F.lit("\n"), F.array_join(told, "\n"))
+    return by.groupBy("drawing_id").agg(text.alias("text"))
+
+
+def inspect_contours(contours: DataFrame) -> DataFrame:
+    """drawing_id, text: clusters, inners and what is left over of a reading, and each message."""
+    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).cast("string")
+    notes = F.array_sort(F.collect_list(F.when(F.col("message").isNotNull(), F.concat(F.col("kind"), F.lit(": "), F.col("message")))))
+    text = F.concat(F.lit("clusters: "), n("outer"), F.lit("\ninners: "), n("inner"), F.lit("\nleft over: "), n("trash"), F.array_join(F.transform(notes, lambda x: F.concat(F.lit("\n"), x)), ""))
+    return contours.groupBy("drawing_id").agg(text.alias("text"))
+
+
 def covered_rectangles(edges: DataFrame, min_side: float) -> DataFrame:
     """drawing_id, x_lo, y_lo, x_hi, y_hi, edges: rectangles on the axes with four covered sides and the lines on them."""
 

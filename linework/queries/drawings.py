@@ -201,7 +201,7 @@ def to_dxf(v: Views) -> DataFrame:
     e = v.plates()
     t = export.to_dxf(e, D.heal_drawings(e))
     n = lambda p: F.regexp_count("dxf", F.lit(p)).cast("long")
-    return t.select(F.col("drawing_id").alias("d"), n("0\nLINE\n").alias("lines"), n("0\nCIRCLE\n").alias("circles"), n("8\nTRASH\n").alias("trash"))
+    return t.select(F.col("drawing_id").alias("d"), n("0\nLINE\n").alias("lines"), n("0\nCIRCLE\n").alias("circles"), n("8\nTrash\n").alias("trash"))
 
 
 @query("sink21_view_model", f"SELECT p_partkey AS d, 2 AS contours, round((p_partkey % 100) + {W}, 4) AS x_hi FROM part")

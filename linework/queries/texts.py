@@ -99,25 +99,25 @@ def _case(column: str, values: dict, default: str) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w!r}" for k, w in values.items()) + f" ELSE {default} END"
 
 
-STYLES = {"bend": RoleStyle(color=5, layer_name="BENDS")}
+STYLES = {"bend": RoleStyle(color=(0, 128, 255), layer_name="BENDS")}
 
 
-@query("str12_role_to_color", f"WITH r AS (SELECT DISTINCT {ROLE} AS role FROM lineitem) SELECT role, {_case('role', {'outer': 3, 'bend': 5}, '7')} AS color FROM r")
+@query("str12_role_to_color", f"WITH r AS (SELECT DISTINCT {ROLE} AS role FROM lineitem) SELECT role, {_case('role', {'outer': 3, 'inner': 2, 'unknown': 1}, '8')} AS color FROM r")
 def role_to_color(v: Views) -> DataFrame:
-    return role(v).select("role").distinct().select("role", roles.role_color(F.col("role"), STYLES).alias("color"))
+    return role(v).select("role").distinct().select("role", roles.role_color(F.col("role")).alias("color"))
 
 
-@query("str13_role_to_hex", f"WITH r AS (SELECT DISTINCT {ROLE} AS role FROM lineitem) SELECT role, {_case('role', {'outer': '#00ff00', 'bend': '#0000ff', 'unknown': '#ffffff'}, 'NULL')} AS hex FROM r")
+@query("str13_role_to_hex", f"WITH r AS (SELECT DISTINCT {ROLE} AS role FROM lineitem) SELECT role, {_case('role', {'outer': '#00ff00', 'inner': '#ffff00', 'bend': '#0080ff', 'unknown': '#ff0000'}, "'#808080'")} AS hex FROM r")
 def role_to_hex(v: Views) -> DataFrame:
     return role(v).select("role").distinct().select("role", roles.role_hex(F.col("role"), STYLES).alias("hex"))
 
 
-@query("str14_role_to_layer", f"WITH r AS (SELECT DISTINCT {ROLE} AS role FROM lineitem) SELECT role, {_case('role', {'outer': 'OUTER', 'bend': 'BENDS', 'unknown': 'TRASH'}, 'NULL')} AS layer FROM r")
+@query("str14_role_to_layer", f"WITH r AS (SELECT DISTINCT {ROLE} AS role FROM lineitem) SELECT role, {_case('role', {'outer': 'OuterContour', 'inner': 'InnerContour', 'bend': 'BENDS', 'unknown': 'Trash'}, 'role')} AS layer FROM r")
 def role_to_layer(v: Views) -> DataFrame:
     return role(v).select("role").distinct().select("role", roles.role_layer(F.col("role"), STYLES).alias("layer"))
 
 
-@query("str15_color_for_layer", f"WITH r AS (SELECT DISTINCT {ROLE} AS role FROM lineitem) SELECT role, {_case('role', {'outer': 3, 'unknown': 1}, '7')} AS color FROM r")
+@query("str15_color_for_layer", f"WITH r AS (SELECT DISTINCT {ROLE} AS role FROM lineitem) SELECT role, {_case('role', {'outer': 3, 'inner': 2, 'unknown': 1}, '8')} AS color FROM r")
 def color_for_layer(v: Views) -> DataFrame:
     return role(v).select("role").distinct().select("role", roles.layer_color(roles.role_layer(F.col("role"))).alias("color"))
 
@@ -194,14 +194,14 @@ META = f"WITH {SIDES}, r AS (SELECT d, round(abs(sum((x0 - xf) * (y1 - yf) - (x1
 
 
 def ring_clusters(v: Views) -> DataFrame:
-    r = v.ring_rows().select(F.col("d").alias("drawing_id"), F.lit(0).alias("cluster_id"), F.round(rings.area(F.col("ring")) + NUDGE, 2).alias("area"), F.size("ring").alias("inners"))
-    return r.withColumn("custom", F.when(F.col("inners") > 4, F.create_map(F.lit("material"), F.lit("ALU"))))
+    r = v.ring_rows().select(F.col("d").alias("drawing_id"), F.lit(0).alias("cluster_id"), F.round(rings.area(F.col("ring")) + NUDGE, 2).alias("area"), F.size("ring").alias("inner_contours_count"))
+    return r.withColumn("custom", F.when(F.col("inner_contours_count") > 4, F.create_map(F.lit("material"), F.lit("ALU"))))
 
 
 @query("sink14_build_metadata", f"{META} SELECT d, CASE WHEN n > 4 THEN 'ALU' ELSE 'S275JR' END AS material, '1' AS quantity, area, n AS inners FROM r")
 def build_metadata(v: Views) -> DataFrame:
     m = export.metadata(ring_clusters(v))
-    return m.select(F.col("drawing_id").alias("d"), m.meta["material"].alias("material"), m.meta["quantity"].alias("quantity"), m.meta["area_mm2"].cast("double").alias("area"), m.meta["inners_count"].cast("long").alias("inners"))
+    return m.select(F.col("drawing_id").alias("d"), m.meta["material"].alias("material"), m.meta["quantity"].alias("quantity"), m.meta["area_mm2"].cast("double").alias("area"), m.meta["inner_contours_count"].cast("long").alias("inners"))
 
 
 @query("sink15_to_json", f"{META} SELECT d, area, n AS inners FROM r")
@@ -209,7 +209,7 @@ def to_json(v: Views) -> DataFrame:
     """Metadata written as JSON and read again."""
     j = export.to_json(export.metadata(ring_clusters(v)))
     back = F.from_json("json", "clusters array<map<string,string>>")["clusters"][0]
-    return j.select(F.col("drawing_id").alias("d"), back["area_mm2"].cast("double").alias("area"), back["inners_count"].cast("long").alias("inners"))
+    return j.select(F.col("drawing_id").alias("d"), back["area_mm2"].cast("double").alias("area"), back["inner_contours_count"].cast("long").alias("inners"))
 
 
 @query("src29_read_metadata", f"{META} SELECT d, CASE WHEN d % 2 = 0 THEN area END AS area FROM r")

@@ -12,8 +12,9 @@ from linework.functions.segments import bulge, start_point
 LEAST_PART_AREA = 50.0
 # Output name, default and origin of the metadata fields of a cluster.
 METADATA = {
-    "label": ("label", None, "cluster"), "source_file": ("source_file", None, "cluster"), "quantity": ("quantity", "1", "custom"), "material": ("material", "S275JR", "custom"), "thickness": ("thickness_mm", "0.0", "custom"),
-    "area": ("area_mm2", None, "calculated"), "outer_perimeter": ("outer_perimeter_mm", None, "calculated"), "inner_perimeter": ("inner_perimeter_mm", None, "calculated"), "inners": ("inners_count", None, "calculated"),
+    "label": ("label", "", "cluster"), "source_file": ("source_file", "", "cluster"), "quantity": ("quantity", "1", "custom"), "material": ("material", "S275JR", "custom"), "thickness": ("thickness_mm", "0.0", "custom"),
+    "area": ("area_mm2", None, "calculated"), "inner_contours_count": ("inner_contours_count", None, "calculated"), "outer_perimeter": ("outer_perimeter_mm", None, "calculated"),
+    "inner_perimeter": ("inner_perimeter_mm", None, "calculated"), "total_perimeter": ("total_perimeter_mm", None, "calculated"), "bbox": ("bbox", None, "calculated"),
 }
 
 
@@ -29,14 +30,20 @@ def parts(clusters: DataFrame, least: float = LEAST_PART_AREA, label: str = "")
 
 
 def metadata(clusters: DataFrame, schema: dict[str, tuple] = METADATA, extra: dict[str, Column] | None = None) -> DataFrame:
-    """drawing_id, cluster_id, meta (map): fields by schema, from the cluster, its custom map or what was measured. A
-    value that is missing takes the default; without one the field is left out."""
+    """drawing_id, cluster_id, meta (map): fields by schema, from the cluster, its custom map or what was measured (the
+    whole perimeter is that of outer and inners; bbox, a struct or array, becomes JSON). A value that is missing takes the
+    default; without one the field is left out."""
     pairs = []
     for field, (name, default, origin) in schema.items():
         if origin == "custom":
             value = F.try_element_at(F.col("custom"), F.lit(field)) if "custom" in clusters.columns else F.lit(None)
+        elif field == "inner_contours_count" and field not in clusters.columns and "inners" in clusters.columns:
+            value = F.col("inners")
         elif field not in clusters.columns:
-            value = F.lit(None)
+            both = field == "total_perimeter" and {"outer_perimeter", "inner_perimeter"} <= set(clusters.columns)
+            value = F.round(F.col("outer_perimeter") + F.col("inner_perimeter"), 4) if both else F.lit(None)
+        elif field == "bbox":
+            value = F.to_json("bbox")
         else:
             value = F.round(F.col(field), 4) if dict(clusters.dtypes)[field] == "double" else F.col(field)
         pairs.append(F.struct(F.lit(name).alias("key"), F.coalesce(value.cast("string"), F.lit(default).cast("string")).alias("value")))
@@ -125,7 +132,7 @@ def to_dxf(edges: DataFrame, contours: DataFrame | None = None) -> DataFrame:
     if contours is not None:
         of = contours.select("drawing_id", F.explode("edge_ids").alias("edge_id"), F.col("kind").alias("_kind")).groupBy("drawing_id", "edge_id").agg(F.min("_kind").alias("_kind"))
         edges = edges.join(of, ["drawing_id", "edge_id"], "left")
-        layer = F.when(F.col("_kind").isin("outer", "inner"), F.upper("_kind")).otherwise(roles.role_layer(F.col("role")))
+        layer = F.when(F.col("_kind").isin("outer", "inner"), roles.role_layer(F.col("_kind"))).otherwise(roles.role_layer(F.col("role")))
     else:
         layer = roles.role_layer(F.col("role"))
     own = F.transform(F.array_sort(F.collect_list(F.struct("edge_id", "e"))), lambda x: x["e"])
@@ -133,6 +140,36 @@ def to_dxf(edges: DataFrame, contours: DataFrame | None = None) -> DataFrame:
     return edges.select("drawing_id", "edge_id", dxf_entity(F.col("seg"), layer).alias("e")).groupBy("drawing_id").agg(text.alias("dxf"))
 
 
+def nester_input(contours: DataFrame) -> DataFrame:
+    """drawing_id, cluster_id, area, bbox, outer_coords, holes_coords: plain closed coordinates of each cluster, for nesting."""
+    closed = F.concat(F.col("ring"), F.slice("ring", 1, 1))
+    own = contours.where("contour_id is not null").withColumn("closed", closed)
+    outer = F.col("kind") == "outer"
+    first = lambda c: F.min_by(c, F.when(outer, F.col("contour_id")))
+    holes = F.transform(F.array_sort(F.collect_list(F.when(~outer, F.struct("contour_id", "closed")))), lambda h: h["closed"])
+    net = F.sum(F.when(outer, F.col("area")).otherwise(-F.col("area")))
+    return own.groupBy("drawing_id", "cluster_id").agg(net.alias("area"), first(rings.bbox(F.col("ring"))).alias("bbox"), first(F.col("closed")).alias("outer_coords"), holes.alias("holes_coords"))
+
+
+#: Application whose extended data holds the metadata, and signs in one piece of it.
+XDATA_APP, XDATA_PIECE = "LINEWORK", 250
+
+
+def with_metadata(dxf: Column, json: Column) -> Column:
+    """The drawing file's text with metadata as extended data of its first entity on the layer of outers."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(json) - 1) / XDATA_PIECE)), lambda i: F.concat(F.lit("1000\n"), F.substring(json, (i * XDATA_PIECE + 1).cast("int"), F.lit(XDATA_PIECE)), F.lit("\n")))
+    data = F.concat(F.lit(f"1001\n{XDATA_APP}\n"), F.array_join(pieces, ""))
+    at = F.instr(dxf, f"\n8\n{roles.LAYERS['outer']}\n")
+    end = F.locate("\n0\n", F.substring(dxf, at + 3, F.length(dxf))) + at + 2
+    return F.when(at > 0, F.concat(F.substring(dxf, F.lit(1), end), data, F.substring(dxf, end + 1, F.length(dxf)))).otherwise(dxf)
+
+
+def metadata_of(dxf: Column) -> Column:
+    """What with_metadata() wrote, as a map; empty where there is none or it cannot be read."""
+    own = F.regexp_extract(dxf, f"\n1001\n{XDATA_APP}\n((?:1000\n[^\n]*\n)*)", 1)
+    return read_metadata(F.array_join(F.regexp_extract_all(own, F.lit("1000\n([^\n]*)\n"), F.lit(1)), ""))
+
+
 def polyline_tags(segs: Column) -> Column:
     """x, y and bulge of each vertex of a closed run of lines and arcs."""
     return F.transform(segs, lambda s: F.struct(start_point(s)["x"].alias("x"), start_point(s)["y"].alias("y"), F.when(s["kind"] == "arc", bulge(s)).otherwise(0.0).alias("bulge")))

@@ -27,9 +27,10 @@ def segments_of(r: Column) -> Column:
     ell = S.ellipse(c["x"], c["y"], m["x"], m["y"], F.coalesce(r["ratio"], F.lit(1.0)), F.coalesce(r["start_param"], F.lit(0.0)), F.coalesce(r["end_param"], F.lit(2 * pi)), F.coalesce(r["ccw"], F.lit(True)))
     spl = S.spline(r["control_points"], r["knots"], F.coalesce(r["degree"], F.lit(3)), r["weights"], r["fit_points"])
     wrong = F.raise_error(F.concat(F.lit("unknown record type: "), F.coalesce(k, F.lit("none")))).cast(T.ArrayType(SEGMENT))
+    short = F.raise_error(F.lit("a polygon needs three points")).cast(T.ArrayType(SEGMENT))
     return (
         F.when(k == "line", one(S.line(r["start"]["x"], r["start"]["y"], r["end"]["x"], r["end"]["y"])))
-        .when(k == "arc", one(arc)).when(k == "circle", one(S.circle(c["x"], c["y"], r["radius"]))).when(k == "polygon", build.polygon(r["points"]))
+        .when(k == "arc", one(arc)).when(k == "circle", one(S.circle(c["x"], c["y"], r["radius"]))).when(k == "polygon", F.when(F.size(r["points"]) >= 3, build.polygon(r["points"])).otherwise(short))
         .when(k == "spline", one(spl)).when(k == "ellipse", one(ell)).otherwise(wrong)
     )
 
