@@ -19,6 +19,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df where its plan only reads, selects and filters, so that rows come in the same order whenever it is read; else
+    what it gives, written once. Row numbers need that where two branches of a plan use them."""
+    nodes = df._jdf.queryExecution().sparkPlan().toString()
+    return cut(df, "steady") if any(x in nodes for x in ("Aggregate", "Join", "Exchange", "Sort", "Limit", "Window", "Sample", "InPandas")) else df
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 

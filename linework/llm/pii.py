@@ -2,19 +2,24 @@
 
 Detected entities get keyed replacements of their own type and format: the same entity the same one everywhere, however
 it is written, different entities different ones. Digits become digits, letters letters of their case, check digits stay
-valid, addresses stay addresses, names become names of the same gender and script. Surrogates that two entities share,
-or that are an entity of the corpus themselves, are drawn anew until none is left."""
+valid, addresses stay addresses, names become names of the same gender and script. A name is replaced word by word, so
+that "Mr Smith" and "Mr John Smith" keep their surname in common. Surrogates that two entities share, or that are an
+entity of the corpus themselves, are drawn anew until none is left."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import cut, union, unused
+from linework.llm.common import cut, steady, unused
 
-KEY = "linework-demo-key"  # a secret of the deployment; this one is for tests
-#: Most times a surrogate is drawn anew; each draw has new hash bits, and names get one more syllable in each.
-MOST_DRAWS = 12
+#: Setting that has the deployment's secret key. Without it each driver draws a key of its own, which nobody can rebuild.
+KEY_SETTING = "spark.linework.pii.key"
+_drawn_key = secrets.token_hex(32)
+#: Draws in a row that may place no surrogate before the shape counts as used up (more cards than there are numbers).
+IDLE_DRAWS = 50
 
 # Patterns of the entities, first match wins, and names by gender and script.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -36,12 +41,14 @@ SYLLABLES_CYRILLIC = [c + v for c in "бвгдзклмнпрстфхш" for v in
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Г-жа"]
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"]
 TITLES = "|".join([*FEMALE_TITLES, *MALE_TITLES])
-NAME = rf"\b(?:{TITLES})\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+)?"
+# words of a name may have capitals inside; initials count; at most three words, as capitals also begin other words
+WORD = r"\p{Lu}(?:\.|[\p{L}'’-]*\p{Ll}[\p{L}'’-]*)"
+NAME = rf"\b(?:{TITLES})\.? {WORD}(?: {WORD}){{0,2}}"
 
 TYPES = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ipv4", IPV4), ("phone", PHONE), ("ssn", SSN), ("card", CARD), ("name", NAME)]
 PATTERN = "|".join(p for _, p in TYPES)
 #: A text without any of these has no entity.
-HINT = rf"[0-9@]|(?i:token|secret|passw|pwd|key)|\b(?:{TITLES})\b"
+HINT = rf"[0-9@]|(?i:token|secret|passw|pwd|key)|\bgh[pousr]_|\bsk-|\b(?:{TITLES})\b"
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,7 +65,7 @@ def canonical(raw: Column, kind: Column) -> Column:
     """What all spellings of one entity have in common."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
     bare = F.lower(F.regexp_replace(raw, rf"^(?:{TITLES})\.? ", ""))
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(raw)).when(kind == "iban", F.regexp_replace(raw, " ", "")).when(kind == "name", bare).otherwise(raw)
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(raw)).when(kind == "iban", F.regexp_replace(raw, " ", "")).when(kind == "name", bare).when(kind.isin("surname", "forename"), F.lower(raw)).otherwise(raw)
 
 
 def signs_of(text: Column) -> Column:
@@ -77,9 +84,13 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(own, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def surrogate(canon: Column, kind: Column, draw: Column, key: str = KEY, gender: Column | None = None) -> Column:
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or _drawn_key
+
+
+def surrogate(canon: Column, kind: Column, draw: int, key: str, gender: Column | None = None) -> Column:
     """The canonical surrogate of a canonical entity: keyed, and of the same type and shape."""
-    bits = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, draw.cast("string")), 512)
+    bits = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(draw))), 512)
     signs = signs_of(canon)
     hexes = (kind == "secret") & canon.rlike("^[0-9a-f]+$")
     tail = F.when(kind == "email", F.char_length(F.regexp_extract(canon, r"\.[a-z]+$", 0))).otherwise(0)  # the top domain stays
@@ -104,11 +115,14 @@ def surrogate(canon: Column, kind: Column, draw: Column, key: str = KEY, gender:
     # a list of names is short: more syllables, from the hash, keep different people apart
     more = F.when(cyrillic, choose(["ский", "ин", "ев", "ко"], wide(7))).otherwise(F.concat(choose(["", "ton", "ley", "mark", "stad", "berg", "court", "well"], wide(7)), choose(["", "son", "sen", "er", "ard", "is", "ovan", "ell"], wide(13))))
     # each draw has 64 times the names of the one before, so what does not fit into one finds room in the next
-    grown = lambda values: F.array_join(F.slice(F.array(*[choose(values, wide(25 + 6 * j)) for j in range(MOST_DRAWS)]), F.lit(1), draw), "")
-    last = F.when(draw > 0, F.concat(last, F.when(cyrillic, grown(SYLLABLES_CYRILLIC)).otherwise(grown(SYLLABLES_LATIN)))).otherwise(last)
+    grown = lambda values: F.concat(*[choose(values, wide(25 + 6 * j)) for j in range(min(draw, 16))])
+    syllables = F.when(cyrillic, grown(SYLLABLES_CYRILLIC)).otherwise(grown(SYLLABLES_LATIN)) if draw else F.lit("")
     first = F.when(female & cyrillic, choose(FEMALE_CYRILLIC, wide(19))).when(cyrillic, choose(MALE_CYRILLIC, wide(19))).when(female, choose(FEMALE_LATIN, wide(19))).otherwise(choose(MALE_LATIN, wide(19)))
-    name = F.when(canon.contains(" "), F.concat(first, F.lit(" "), last, more)).otherwise(F.concat(last, more))
-    return F.when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "name", name).otherwise(shaped)
+    out = F.when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "surname", F.concat(last, syllables, more))
+    out = out.when(kind == "forename", F.concat(first, syllables))
+    # short addresses and secrets run out of letters: later draws are longer
+    longer = F.translate(F.substring(bits, 100, min(max(draw - 3, 0), 24)), DIGITS + "abcdef", LOWER[:16])
+    return out.when(kind == "email", F.concat(longer, shaped)).when((kind == "secret") & ~hexes, F.concat(shaped, longer)).otherwise(shaped)
 
 
 def formatted(raw: Column, kind: Column, new: Column) -> Column:
@@ -116,52 +130,85 @@ def formatted(raw: Column, kind: Column, new: Column) -> Column:
     signs = signs_of(raw)
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
     grouped = F.aggregate(signs, start, lambda a, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(a["s"], F.substring(new, a["i"], F.lit(1))).alias("s"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["i"].alias("i"))))["s"]
-    cased = F.array_join(F.zip_with(signs, signs_of(new), lambda c, n: F.when(c.rlike("[A-Z]"), F.upper(n)).otherwise(n)), "")
-    titled = F.concat(F.regexp_extract(raw, rf"^(?:{TITLES})\.? ", 0), new)
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), grouped).when(kind == "email", cased).when(kind == "name", titled).otherwise(new)
+    cased = F.array_join(F.zip_with(signs, signs_of(new), lambda c, n: F.when(c.rlike("[A-Z]"), F.upper(n)).otherwise(F.coalesce(n, F.lit("")))), "")
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), grouped).when(kind == "email", cased).otherwise(new)
 
 
 def female_title(raw: Column) -> Column:
     return raw.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\.? ")
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """entities: kind, canon, female, one row an entity: (kind, canon, new), new without clashes.
+def words_of(name: Column) -> Column:
+    """Of a canonical name: its words, the last one a surname, as (kind, canon)."""
+    words = F.split(name, " ")
+    return F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").otherwise("forename").alias("kind"), w.alias("canon")))
+
+
+def drawn(entities: DataFrame, key: str) -> DataFrame:
+    """entities: kind, canon, female, one row an entity: (kind, canon, new, norm), new without clashes.
 
     A surrogate clashes if a different entity of its kind has it too (of those the smallest keeps it) or if it is an
-    entity of the corpus. What clashes is drawn again, against all that stands."""
-    drawing, done = entities, []
+    entity of the corpus. What clashes is drawn again, against all that stands, however often that takes."""
     taken = entities.select("kind", F.col("canon").alias("norm"))
-    for draw in range(MOST_DRAWS):
-        drawn = drawing.withColumn("new", surrogate(F.col("canon"), F.col("kind"), F.lit(draw), key, F.col("female")))
-        drawn = cut(drawn.withColumn("norm", canonical(F.col("new"), F.col("kind"))), "drawn")
-        first = drawn.groupBy("kind", "norm").agg(F.min("canon").alias("canon"))
-        fine = drawn.join(first, ["kind", "norm", "canon"], "left_semi").join(taken, ["kind", "norm"], "left_anti")
-        for stands in done:
-            fine = fine.join(stands, ["kind", "norm"], "left_anti")
-        done.append(cut(fine.select("kind", "canon", "new", "norm"), "fine"))
-        drawing = cut(drawn.join(done[-1], ["kind", "canon"], "left_anti").select("kind", "canon", "female"), "left")
+    drawing, done, draw, idle = entities, None, 0, 0
+    while True:
+        now = drawing.withColumn("new", surrogate(F.col("canon"), F.col("kind"), draw, key, F.col("female")))
+        now = cut(now.withColumn("norm", canonical(F.col("new"), F.col("kind"))), "drawn")
+        first = now.groupBy("kind", "norm").agg(F.min("canon").alias("canon"))
+        fine = now.join(first, ["kind", "norm", "canon"], "left_semi").join(taken, ["kind", "norm"], "left_anti")
+        if done is not None:
+            fine = fine.join(done, ["kind", "norm"], "left_anti")
+        fine = cut(fine.select("kind", "canon", "new", "norm"), "fine")
+        drawing = cut(now.join(fine, ["kind", "canon"], "left_anti").select("kind", "canon", "female"), "left")
+        idle = idle + 1 if fine.isEmpty() else 0
+        # one table however many draws there are: plans must not grow with them
+        done = fine if done is None else done if idle else cut(done.unionAll(fine), "done")
         if drawing.isEmpty():
-            return union(done).select("kind", "canon", "new")
-    raise RuntimeError(f"surrogates still clash after {MOST_DRAWS} draws")
+            return done
+        if idle > IDLE_DRAWS:
+            raise ValueError("a kind of entity has more members than surrogates of its shape")
+        draw += 1
+
+
+def surrogates(entities: DataFrame, key: str | None = None) -> DataFrame:
+    """entities: kind, canon, female, one row an entity: (kind, canon, new), new without clashes. Names are put together
+    from the surrogates of their words, so equal words stay equal and different names stay different."""
+    key = key or key_of(entities.sparkSession)
+    names = entities.where("kind = 'name'").select("kind", "canon", "female", F.posexplode(words_of(F.col("canon"))).alias("pos", "w"))
+    words = names.select("w.kind", "w.canon", "female").groupBy("kind", "canon").agg(F.max("female").alias("female"))
+    of = drawn(cut(entities.where("kind <> 'name'").select("kind", "canon", "female").unionAll(words), "words"), key)
+    made = names.join(of.select(F.col("kind").alias("wk"), F.col("canon").alias("wc"), "new").hint("merge"), (F.col("w.kind") == F.col("wk")) & (F.col("w.canon") == F.col("wc")))
+    whole = made.groupBy("kind", "canon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]), " ").alias("new"))
+    return of.where("kind not in ('surname', 'forename')").select("kind", "canon", "new").unionAll(whole)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with the entities of text_col replaced, and entities_ (long), how many mentions there were.
 
-    Texts without an entity, null and empty ones stay as they are. Repeated rows and repeated mentions get the same
-    surrogates. Names need a title before them, which tells the gender; the same name with titles of both genders is
-    taken as female."""
+    Texts without an entity, null and empty ones stay as they are; very long ones are read whole; an empty table gives an
+    empty one; columns keep their names. Repeated rows and repeated mentions get the same surrogates. Names need a title
+    before them, which tells the gender; the same name with titles of both genders is taken as female. The key is given,
+    or the setting KEY_SETTING, or one that this driver draws."""
+    docs = steady(docs)
     row, own, n = unused(docs, "row", "own", "entities_")
     told = docs.withColumn(row, F.monotonically_increasing_id())
     raw = told.where(F.col(text_col).rlike(HINT)).select(F.col(row).alias("row"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).alias("pos", "raw"))
     typed = cut(raw.withColumn("kind", type_of(F.col("raw"))), "typed")
-    mentions = typed.select("row", "pos", "raw", "kind", canonical(F.col("raw"), F.col("kind")).alias("canon"), ((F.col("kind") == "name") & female_title(F.col("raw"))).alias("female"))
+    # names by word, in place of the whole: the words' surrogates are what all names that share them have in common
+    whole = typed.select("row", "pos", "raw", "kind", canonical(F.col("raw"), F.col("kind")).alias("canon"), ((F.col("kind") == "name") & female_title(F.col("raw"))).alias("female"))
+    parts = F.when(F.col("kind") == "name", words_of(F.col("canon"))).otherwise(F.array(F.struct(F.col("kind").alias("kind"), F.col("canon").alias("canon"))))
+    mentions = cut(whole.select("row", "pos", "raw", "female", F.posexplode(parts).alias("part", "w")).select("row", "pos", "part", "raw", "female", "w.kind", "w.canon"), "mentions")
     entities = cut(mentions.groupBy("kind", "canon").agg(F.max("female").alias("female")), "entities")
-    placed = mentions.join(surrogates(entities, key), ["kind", "canon"]).select("row", "pos", formatted(F.col("raw"), F.col("kind"), F.col("new")).alias("new"))
-    of_row = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "new")))["new"].alias("new"))
+    of = drawn(entities, key or key_of(docs.sparkSession)).select("kind", "canon", "new")
+    # one plan at every size; an entity that many texts have is split by the skew join
+    placed = mentions.join(of.hint("merge"), ["kind", "canon"]).select("row", "pos", "part", "raw", "kind", formatted(F.col("raw"), F.col("kind"), F.col("new")).alias("new"))
+    title = F.when((F.col("kind").isin("surname", "forename")) & (F.col("part") == 0), F.regexp_extract("raw", rf"^(?:{TITLES})\.? ", 0)).otherwise("")
+    of_part = placed.select("row", "pos", F.struct("part", F.concat(title, "new").alias("new")).alias("x")).repartition("row")
+    joined = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["new"])
+    of_mention = of_part.groupBy("row", "pos").agg(F.array_join(joined("x"), " ").alias("new"))
+    of_row = of_mention.groupBy("row").agg(joined(F.struct("pos", "new")).alias("new"))
     of_row = cut(of_row.select(F.col("row").alias(f"{row}_"), F.col("new").alias(own)), "replacements")
-    both = told.join(of_row.hint("merge"), F.col(row) == F.col(f"{row}_"), "left")  # one plan at every size
+    both = told.join(of_row.hint("merge"), F.col(row) == F.col(f"{row}_"), "left")
     pieces = F.split(F.col(text_col), PATTERN, -1)
     text = F.array_join(F.flatten(F.zip_with(pieces, F.col(own), lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
     return both.select(*[F.when(F.col(own).isNotNull(), text).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size(F.col(own)), F.lit(0)).cast("long").alias(n))
