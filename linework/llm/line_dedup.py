@@ -1,18 +1,20 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a written table (h binary, n long) of distinct line keys and the number of documents that have them, range
-partitioned and sorted by h. Each batch of documents adds a run at level 0; when a level has FANOUT runs they are merged
-into one run of the next level, so a key is rewritten once a level. Reading merges what few runs are left."""
+A run is a written table (h binary, n long) of distinct line keys and the number of documents that have them, partitioned
+by h and sorted within. Each batch of documents is merge-anti-joined with the keys that are settled, those that enough
+documents have already, and adds what is left as a run at level 0. A level that has FANOUT runs is compacted: they are
+merged into one run of the next level, and keys that now have enough documents leave it for a settled run. So a key is
+rewritten once a level, and the lines that nearly every document has are not written again by later batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linework.llm.common import SPACE, ascii_lower, cut, union, unused
+from linework.llm.common import SPACE, ascii_lower, cut, steady, union, unused
 
 #: Runs of one level that are merged into the next; batches that a whole corpus is fed in; copies of a frequent line's row.
-FANOUT, BATCHES, SALTS = 4, 4, 16
+FANOUT, BATCHES, SALTS = 2, 4, 16
 MIN_CHARS, MIN_DOCS = 1, 10
 
 
@@ -31,26 +33,40 @@ def digest(key: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs: add() a batch's keys, unseen() and counts() read them."""
+    """The levelled runs: add() a batch's keys, unseen() and counts() read them. With min_docs, settled has runs of the
+    keys (h) that at least so many documents have, and levels only the others."""
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, {}
+    def __init__(self, fanout: int = FANOUT, min_docs: int | None = None):
+        self.fanout, self.min_docs, self.levels, self.settled = fanout, min_docs, {}, []
 
     def add(self, batch: DataFrame) -> None:
         """batch: h binary, n long, one row a key. Merges levels that are full."""
-        level, run = 0, batch
+        level, run = 0, self._without(batch, self.settled)
         while True:
             own = self.levels.setdefault(level, [])
-            own.append(cut(run.sort("h"), f"run{level}"))
+            own.append(cut(run.sortWithinPartitions("h"), f"run{level}"))
             if len(own) < self.fanout:
                 return
-            run, self.levels[level] = self._merged(own), []
+            run, self.levels[level] = self._settle(self._merged(own)), []
             level += 1
 
+    def _settle(self, run: DataFrame) -> DataFrame:
+        if self.min_docs is None:
+            return run
+        run = cut(run, "merged")
+        self.settled.append(cut(run.where(F.col("n") >= self.min_docs).select("h").sortWithinPartitions("h"), "settled"))
+        return run.where(F.col("n") < self.min_docs)
+
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
         return union(runs).groupBy("h").agg(F.sum("n").alias("n")) if len(runs) > 1 else runs[0]
 
+    @staticmethod
+    def _without(batch: DataFrame, runs: list[DataFrame]) -> DataFrame:
+        for run in runs:
+            batch = batch.join(run.select("h").hint("merge"), "h", "left_anti")
+        return batch
+
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels.values() for r in level]
 
@@ -59,9 +75,11 @@ class LineRuns:
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of batch (h binary, ...) whose key no run has: one merge-anti-join a run."""
-        for run in self.runs():
-            batch = batch.hint("merge").join(run.select("h"), "h", "left_anti")
-        return batch
+        return self._without(batch, [*self.settled, *self.runs()])
+
+    def frequent(self) -> DataFrame:
+        """(h): the keys that at least min_docs documents have; each is in one settled run or in none."""
+        return union([*self.settled, self.counts().where(F.col("n") >= self.min_docs).select("h")])
 
 
 def keyed_lines(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
@@ -72,11 +90,11 @@ def keyed_lines(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
 
 def frequent_keys(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """(h): keys that at least min_docs rows of docs have, from runs that each batch of rows adds to."""
-    runs = LineRuns()
+    runs = LineRuns(min_docs=min_docs)
     keyed = cut(keyed_lines(docs.withColumn("row", F.monotonically_increasing_id()), text_col, min_chars).groupBy((F.pmod(F.xxhash64("row"), F.lit(batches))).cast("int").alias("batch"), "h").agg(F.count(F.lit(1)).alias("n")), "batches")
     for b in range(batches):
         runs.add(keyed.where(F.col("batch") == b).select("h", "n"))
-    return runs.counts().where(F.col("n") >= min_docs).select("h")
+    return runs.frequent()
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -84,18 +102,21 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOC
 
     Lines are split at \\n; a null or empty text has one empty line and stays as it is. Keys of at least min_chars code
     points that at least min_docs rows have lose all their lines in every row; a key counts once a row, and rows that
-    repeat count each. Lines that stay keep their own spelling. A text that loses all its lines becomes empty."""
+    repeat count each. Very long texts are split whole. Columns of docs keep their names; the new ones get an underscore more
+    where a name is taken. An empty table gives an empty one. Lines that stay keep their own spelling. A text that loses all its lines becomes empty."""
     row, lines, drop = unused(docs, "row", "lines", "drop")
+    docs = steady(docs)
     often = cut(frequent_keys(docs, text_col, min_docs, min_chars), "frequent")
     told = docs.withColumn(row, F.monotonically_increasing_id())
     at = told.select(F.col(row).alias("row"), F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "k")).where(F.char_length("k") >= min_chars)
     at = at.select("row", "pos", digest(F.col("k")).alias("h"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
     salted = often.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    gone = at.join(salted, ["h", "salt"], "left_semi").groupBy("row").agg(F.collect_list("pos").alias("gone"))
+    gone = at.join(salted.hint("merge"), ["h", "salt"], "left_semi").groupBy("row").agg(F.collect_list("pos").alias("gone"))
     both = told.join(gone.select(F.col("row").alias(f"{row}_"), F.col("gone").alias(drop)), F.col(row) == F.col(f"{row}_"), "left")
     both = both.withColumn(lines, lines_of(F.col(text_col)))
     n, lost = unused(docs, "lines_", "dropped_")
-    kept = F.concat_ws("\n", F.filter(F.col(lines), lambda x, i: ~F.array_contains(F.col(drop), i)))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))  # by hash, linear in the lines
+    kept = F.concat_ws("\n", F.transform(places, lambda i: F.get(F.col(lines), i)))
     return both.select(
         *[F.when(F.col(drop).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.size(lines).cast("long").alias(n), F.coalesce(F.size(F.col(drop)), F.lit(0)).cast("long").alias(lost),
