@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm.common import cut, unused
+from linework.llm.common import cut, steady, unused
 from linework.llm.license_texts import TEXTS
 
 # Spellings that licence texts use for one another.
@@ -29,8 +29,11 @@ SIGNS = ("licen", "permission", "redistribution")
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), MARKER, " ")
-    out = F.concat(F.lit(" "), F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    return F.btrim(reduce(lambda t, x: F.replace(t, F.lit(f" {x[0]} "), F.lit(f" {x[1]} ")), EQUIVALENT.items(), out))
+    # two blanks between words: each word has its own on both sides, so repeated spellings are all found
+    out = F.concat(F.lit(" "), F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+    wide = lambda words: F.lit(" " + words.replace(" ", "  ") + " ")
+    out = reduce(lambda t, x: F.replace(t, wide(x[0]), wide(x[1])), EQUIVALENT.items(), out)
+    return F.btrim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -52,7 +55,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text_col: str = "text"
     """docs with the columns license_ (of the whole text, or null), license_digest_ (null if no known text can match)
     and notices_ (licences of single lines, distinct and sorted).
 
-    Null and empty texts have none. Copyright lines alone are no licence. Repeated rows are scanned each."""
+    Null and empty texts have none; very long ones are taken whole. Copyright lines alone are no licence. Repeated rows
+    are scanned each. Columns of docs keep their names; the new ones get an underscore more where a name is taken. An
+    empty table gives an empty one."""
+    docs = steady(docs)
     known = known_digests(docs.sparkSession) if known is None else known
     row, lic, dig, notices = unused(docs, "row", "license_", "license_digest_", "notices_")
     told = docs.withColumn(row, F.monotonically_increasing_id())
