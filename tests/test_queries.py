@@ -12,6 +12,10 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A query of each family; the driver compares all of them.
 SOME = ["proj37_segment_length", "agg5_ring_area", "pred11_point_in_ring", "join3_node_graph", "agg9_merge_intervals", "win4_cluster_values", "join25_containment_tree", "join2_cluster_points", "join14_anchor_cover", "str1_normalize_role", "str4_resolve_role", "proj42_contour_shape", "sink14_build_metadata", "recipe1_heal", "recipe2_island", "join23_contour_minus", "agg14_merge_collinear", "q_events_sessions"]
+SOME += ["src6_load_segments", "str12_role_to_color", "str13_role_to_hex", "str14_role_to_layer", "str15_color_for_layer", "pred9_splits_polygon", "pred10_point_on_contour", "join21_bridged_runs", "join22_cut_by", "join27_on_border", "join28_spanning_lines", "sink18_write_metadata", "sort6_inspect_document", "udf3_register_role_style"]
+#: With ALL_QUERIES set, every query that has SQL: ten minutes more.
+if os.environ.get("ALL_QUERIES"):
+    SOME = sorted(SQL)
 
 
 @pytest.fixture(scope="module")
