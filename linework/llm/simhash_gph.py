@@ -328,13 +328,15 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str
 
 
 #: For the filter: words in a shingle, likeness asked for, words of the wide fingerprint, how many of them are searched and
-#: within which radius. At 0.8 a pair differs in 9.7 +- 2.9 bits of a word: one word finds it in 0.74 of the cases, one of
-#: three in 0.98. A smaller radius over more words finds as many, for more rows that are dealt out.
-SHINGLE, LIKENESS, WIDE, SEARCHED, RADIUS = 5, 0.8, 6, 3, 11
+#: within which radius. At 0.8 a pair differs in 9.7 +- 2.9 bits of a word: one word finds it in 0.48 of the cases, one of
+#: three in 0.86; sorted neighbours find most of the others. A larger radius finds more, for more rows that are dealt out.
+SHINGLE, LIKENESS, WIDE, SEARCHED, RADIUS = 5, 0.8, 6, 3, 9
 #: Turns of the words at which texts are sorted and linked to near neighbours within so many places, before the search.
 #: Groups of more texts than LARGE are met list by list, LIST members a list on average at most, so that a large group
 #: does not meet itself.
-TURNS, REACH, LARGE, LIST = (0, 16), 8, 64, 512
+TURNS, REACH, LARGE, LIST = (0, 16), 16, 64, 512
+#: Texts to be compared, as id and hash (32 bytes each), that are sent to all tasks at most.
+MOST_BROADCAST = 200_000
 #: Standard deviations that a candidate's differing bits may be above their mean; the shingles themselves decide. Of pairs
 #: at 0.8 that leaves out six in a thousand, and in families of texts that are a little less alike most pairs.
 DEVIATIONS = 2.5
@@ -380,8 +382,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, id
 
     ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
     ends = nodes.join(ends.hint("merge"), "node").select("node", "least.id", "least.h")
+    ends = cut(ends, "ends")
     told = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("g"))
-    own = told.join(ends.hint("merge"), (F.col("g") == F.col("h")) & F.col("i").eqNullSafe(F.col("id"))).select("node", "t").dropDuplicates(["node"])
+    # few ends spare all other texts the shuffle; many are merge joined
+    few = ends.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    own = told.join(F.broadcast(ends) if few else ends.hint("merge"), (F.col("g") == F.col("h")) & F.col("i").eqNullSafe(F.col("id"))).select("node", "t").dropDuplicates(["node"])
     return cut(own.select("node", of("t").alias("s")), "sets")
 
 
