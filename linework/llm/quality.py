@@ -30,11 +30,12 @@ def features_column(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(means, spreads, weights) from at most `rows` labelled documents, those of least hash of doc_id. Labels other than
-    0 and 1 are left out; without both classes the weights say even odds."""
+    """(means, spreads, weights) from at most `rows` labelled documents, those of least hash of doc_id; of texts that repeat
+    an id the first in order. Labels other than 0 and 1 are left out; without both classes the weights say even odds."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "sample")
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(features_column(F.col("text")).alias("x"), "y").toPandas()  # at most `rows` ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most `rows` rows
+    found = texts.select(features_column(F.col("text")).alias("x"), "y").toPandas()
     x, y = np.array(found.x.tolist(), dtype=float).reshape(-1, len(QUALITY_FEATURES)), found.y.to_numpy(float)
     if len(set(y)) < 2:
         return np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1] + 1)
@@ -103,7 +104,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     return both.select("doc_id", "host", "path", "evidence", "host_mean", "path_mean", score.alias("score")).withColumn("keep", F.col("score") >= threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, site_weight: float = SITE_WEIGHT, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that classify() keeps, with their own columns. Evidence is computed again next to the text, so
     that no text is moved; only the posteriors of the sites are joined."""
     host, path = site_columns(F.col("source"), F.col("lang"))
@@ -117,5 +118,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     logit = lambda x: F.log(F.greatest(x, F.lit(1e-6)) / F.greatest(1 - x, F.lit(1e-6)))
     own = 1 / (1 + F.exp(-F.col(e)))
     without = (F.col(v)["s"] - own + F.col(v)["kappa"] * F.col(v)["host_mean"]) / (F.col(v)["n"] - 1 + F.col(v)["kappa"])
-    score = 1 / (1 + F.exp(-(F.col(e) + how.get("site_weight", SITE_WEIGHT) * (logit(without) - logit(F.col(v)["global_mean"])))))
-    return both.where(score >= how.get("threshold", THRESHOLD)).select(*docs.columns)
+    score = 1 / (1 + F.exp(-(F.col(e) + site_weight * (logit(without) - logit(F.col(v)["global_mean"])))))
+    return both.where(score >= threshold).select(*docs.columns)

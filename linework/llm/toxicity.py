@@ -182,11 +182,12 @@ def features_column(text: Column, lexicon: Lexicon) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicModel:
-    """From at most `rows` labelled documents that are not held out, those of least hash of doc_id. The word lists and
+    """From at most `rows` labelled documents that are not held out, those of least hash of doc_id; of texts that repeat an
+    id the first in order. The word lists and
     the trees come from three quarters of them, the calibration from the rest."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "sample")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` ids
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most `rows` rows
     sample = cut(sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION_PARTS))), "rows")
     lexicon = learn_lexicon(sample.where("part > 0").select("text", "y"))
     found = sample.select("part", "y", features_column(F.col("text"), lexicon).alias("x")).toPandas()
