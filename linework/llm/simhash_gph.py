@@ -398,16 +398,16 @@ def relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(out.withColumn("label", F.coalesce("to", "label")).select(*nodes.columns), "nodes")
 
 
-def wide_words(nodes: DataFrame, *more: Column | str, words: int = WIDE) -> DataFrame:
-    """node, label, size and the first words of the fingerprint as columns that are not null."""
+def wide_words(nodes: DataFrame, *more: Column | str) -> DataFrame:
+    """node, label, size and the words of the fingerprint as columns that are not null."""
     of = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    return nodes.select(*[of(F.col(c)).alias(c) for c in ("node", "label", "size")], *[of(F.col("w")[i]).alias(f"w{i}") for i in range(words)], *more)
+    return nodes.select(*[of(F.col(c)).alias(c) for c in ("node", "label", "size")], *[of(F.col("w")[i]).alias(f"w{i}") for i in range(WIDE)], *more)
 
 
-def may_be_alike(a: str, b: str, similarity: float, words: int = WIDE) -> Column:
-    """Whether number of shingles and the first words of the fingerprints of the structs a and b allow the similarity."""
+def may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """Whether number of shingles and wide fingerprints of the structs a and b allow the similarity."""
     x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
-    return (apart(a, b, words) <= widest(similarity, BITS * words)) & (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9)
+    return (apart(a, b, WIDE) <= widest(similarity, BITS * WIDE)) & (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9)
 
 
 def neighbour_pairs(nodes: DataFrame, turn: int, similarity: float, reach: int = REACH) -> DataFrame:
@@ -448,11 +448,11 @@ def candidate_pairs(nodes: DataFrame, radius: int, searched: int, similarity: fl
     used = places(plan(cut(fps, "fps"), radius))
     many = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
     sized = nodes.join(many.hint("merge"), "label", "left")
-    # rows that are dealt out are many: they carry the searched words alone
-    sized = cut(wide_words(sized, F.coalesce("n", F.lit(0).cast("long")).alias("large"), words=searched), "sized")
+    # the whole fingerprint goes along, so that the join itself leaves out what it tells apart
+    sized = cut(wide_words(sized, F.coalesce("n", F.lit(0).cast("long")).alias("large")), "sized")
     sized = sized.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in sized.columns])
     small, large = sized.where("large = 0"), sized.where("large > 0")
-    meet = may_be_alike("a", "b", similarity, searched) & first_way("a", "b", used)
+    meet = may_be_alike("a", "b", similarity) & first_way("a", "b", used)
     pair = (F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     both = dealt(small, used, 1, "a").join(dealt(sized, used, 0, "b").hint("merge"), "key")
     out = [both.where(((F.col("b.large") > 0) | (F.col("a.node") < F.col("b.node"))) & (F.col("a.label") != F.col("b.label")) & meet).select(*pair)]
@@ -463,10 +463,7 @@ def candidate_pairs(nodes: DataFrame, radius: int, searched: int, similarity: fl
             lists.append(dealt(large, used, side, s).groupBy("key", F.col(f"{s}.label").alias(f"label{s}"), chunk).agg(F.collect_list(s).alias(s)))
         both = lists[1].join(lists[0].hint("merge"), "key").where("labela < labelb").select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
         out.append(both.where(meet).select(*pair))
-    whole = wide_words(nodes)
-    x, y = (whole.select(F.col("node").alias(f"n{s}"), F.struct("size", *[f"w{i}" for i in range(WIDE)]).alias(f"v{s}")).hint("merge") for s in "ab")
-    found = union(out).distinct().join(x, F.col("a") == F.col("na")).join(y, F.col("b") == F.col("nb"))
-    return found.where(may_be_alike("va", "vb", similarity)).select("a", "b")
+    return union(out).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, searched: int = SEARCHED, similarity: float = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
