@@ -337,6 +337,8 @@ SHINGLE, LIKENESS, WIDE, SEARCHED, RADIUS = 5, 0.8, 6, 3, 9
 TURNS, REACH, LARGE, LIST = (0, 16), 16, 64, 512
 #: Texts to be compared, as id and hash (32 bytes each), that are sent to all tasks at most.
 MOST_BROADCAST = 200_000
+#: Texts and shingles in half a block of texts whose pairs are verified together, on average at most.
+PART, PART_SHINGLES = 64, 1_000_000
 #: Standard deviations that a candidate's differing bits may be above their mean; the shingles themselves decide. Of pairs
 #: at 0.8 that leaves out six in a thousand, and in families of texts that are a little less alike most pairs.
 DEVIATIONS = 2.5
@@ -373,6 +375,30 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
 
+def verified_in_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """What verified gives, for pairs of which a text may have many: its set is not sent once with each of them.
+
+    Texts that hang together are dealt to parts of about PART texts and PART_SHINGLES shingles; two parts make a block,
+    which gets each set once and is one row, however many pairs it has. A text longer than that is in a part whole."""
+    group = components(pairs).join(sets.select("node", F.size("s").alias("n")).hint("merge"), "node")
+    group = cut(group, "hanging")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum("n") / PART_SHINGLES)).alias("parts")
+    dealt_to = group.join(group.groupBy("label").agg(parts).hint("merge"), "label")
+    dealt_to = cut(dealt_to.select("node", "label", F.pmod(F.xxhash64("node"), "parts").alias("part")), "parts")
+    x, y = (dealt_to.select(F.col("node").alias(c), F.col("part").alias(f"p{c}"), *more).hint("merge") for c, more in (("a", ["label"]), ("b", [])))
+    block = F.xxhash64("label", F.least("pa", "pb"), F.greatest("pa", "pb")).alias("block")
+    met = cut(pairs.join(x, "a").join(y, "b").select(block, "a", "b"), "met")
+    wanted = met.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = wanted.join(sets.hint("merge"), "node").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("node", "s"))).alias("of"))
+    told = met.groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+
+    def alike(pair: Column) -> Column:
+        one, other = F.col("of")[pair["a"]], F.col("of")[pair["b"]]
+        return F.size(F.array_intersect(one, other)) * (1 + similarity) >= similarity * (F.size(one) + F.size(other)) - 1e-9
+
+    return told.join(held.hint("merge"), "block").select(F.explode(F.filter("pairs", alike)).alias("x")).select("x.a", "x.b")
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(node, s): the distinct shingles of the texts that pairs (a, b) ask for."""
 
@@ -495,7 +521,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS
         la, lb = (nodes.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")).hint("merge") for c in "ab")
         rest = cut(found.join(first.hint("merge"), ["a", "b"], "left_anti").join(la, "a").join(lb, "b").where("la <> lb").select("a", "b"), "rest")
         if not rest.isEmpty():
-            nodes = relabelled(nodes, cut(verified(rest, sets, similarity), "links"))
+            nodes = relabelled(nodes, cut(verified_in_blocks(rest, sets, similarity), "links"))
     kept = nodes.groupBy("label").agg(F.min(F.struct("least.no", "least.id", "least.h")).alias("least")).select(F.col("least.id").alias("id"), F.col("least.h").alias("h"))
     kept = cut(kept, "kept")
     repeated = cut(rows.where("n > 1").select("id", "h").join(kept.hint("merge"), ["id", "h"], "left_semi"), "repeated")
