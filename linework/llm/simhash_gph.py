@@ -243,11 +243,11 @@ def places(groups: dict[int, list[Group]]) -> list[tuple[int, Group]]:
     return [(w, g) for w, own in sorted(groups.items()) for g in own if g.threshold >= 0]
 
 
-def dealt(x: DataFrame, used: list[tuple[int, Group]], side: int, s: str) -> DataFrame:
+def dealt(x: DataFrame, used: list[tuple[int, Group]], side: int, s: str, only: int | None = None) -> DataFrame:
     """x: w0, w1 ... (words that are not null), columns to carry: a row for each place and flip, with key and a struct of
-    all of x, the place p, the flip m and whether it is as wide as it may be. Keys are hashes; who meets by chance is told
+    all of x, the place p, the flip m and whether it is as wide as it may be; of one word only where asked. Keys are hashes; who meets by chance is told
     apart by the words."""
-    told = [{"p": p, "w": w, "k": g.mask, "e": g.spread(m), "m": m, "full": m.bit_count() == g.sides[1]} for p, (w, g) in enumerate(used) for m in flips(len(g.bits), g.sides[side])]
+    told = [{"p": p, "w": w, "k": g.mask, "e": g.spread(m), "m": m, "full": m.bit_count() == g.sides[1]} for p, (w, g) in enumerate(used) if only in (None, w) for m in flips(len(g.bits), g.sides[side])]
     told = F.from_json(F.lit(json.dumps(told)), "array<struct<p:int,w:int,k:bigint,e:bigint,m:bigint,full:boolean>>")
     of = lambda c: F.coalesce(c, F.lit(0))  # noqa: E731  not null, which keeps the generated code short
     f = F.lit(0).cast("long")
@@ -468,7 +468,8 @@ def candidate_pairs(nodes: DataFrame, radius: int, searched: int, similarity: fl
     """Pairs (a, b) of nodes of different groups that one of the searched words brings together at this radius and whose
     wide fingerprints and sizes allow the similarity.
 
-    Large groups are met by the texts of small ones in one direction; with each other they meet as lists of members that
+    Words are searched one after the other, so that the rows that are dealt out for one are gone before the next; a pair
+    counts where it meets first. Large groups are met by the texts of small ones in one direction; with each other they meet as lists of members that
     share a key, so pairs within a large group are never made."""
     fps = union([nodes.select(F.lit(i).alias("w"), F.col("w")[i].alias("f")) for i in range(searched)]).distinct()
     used = places(plan(cut(fps, "fps"), radius))
@@ -480,15 +481,18 @@ def candidate_pairs(nodes: DataFrame, radius: int, searched: int, similarity: fl
     small, large = sized.where("large = 0"), sized.where("large > 0")
     meet = may_be_alike("a", "b", similarity) & first_way("a", "b", used)
     pair = (F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-    both = dealt(small, used, 1, "a").join(dealt(sized, used, 0, "b").hint("merge"), "key")
-    out = [both.where(((F.col("b.large") > 0) | (F.col("a.node") < F.col("b.node"))) & (F.col("a.label") != F.col("b.label")) & meet).select(*pair)]
-    if not large.isEmpty():
-        lists = []
-        for side, s in ((0, "b"), (1, "a")):
-            chunk = F.pmod(F.xxhash64(f"{s}.node"), F.ceil(F.col(f"{s}.large") / LIST))
-            lists.append(dealt(large, used, side, s).groupBy("key", F.col(f"{s}.label").alias(f"label{s}"), chunk).agg(F.collect_list(s).alias(s)))
-        both = lists[1].join(lists[0].hint("merge"), "key").where("labela < labelb").select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
-        out.append(both.where(meet).select(*pair))
+    crowded, out = not large.isEmpty(), [nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")]
+    for w in sorted({w for w, _ in used}):
+        both = dealt(small, used, 1, "a", w).join(dealt(sized, used, 0, "b", w).hint("merge"), "key")
+        found = both.where(((F.col("b.large") > 0) | (F.col("a.node") < F.col("b.node"))) & (F.col("a.label") != F.col("b.label")) & meet).select(*pair)
+        if crowded:
+            lists = []
+            for side, s in ((0, "b"), (1, "a")):
+                chunk = F.pmod(F.xxhash64(f"{s}.node"), F.ceil(F.col(f"{s}.large") / LIST))
+                lists.append(dealt(large, used, side, s, w).groupBy("key", F.col(f"{s}.label").alias(f"label{s}"), chunk).agg(F.collect_list(s).alias(s)))
+            both = lists[1].join(lists[0].hint("merge"), "key").where("labela < labelb").select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
+            found = found.unionAll(both.where(meet).select(*pair))
+        out.append(cut(found, f"word{w}"))
     return union(out).distinct()
 
 
