@@ -388,7 +388,7 @@ def verified_in_blocks(pairs: DataFrame, sets: DataFrame, similarity: float) ->
     x, y = (dealt_to.select(F.col("node").alias(c), F.col("part").alias(f"p{c}"), *more).hint("merge") for c, more in (("a", ["label"]), ("b", [])))
     block = F.xxhash64("label", F.least("pa", "pb"), F.greatest("pa", "pb")).alias("block")
     met = cut(pairs.join(x, "a").join(y, "b").select(block, "a", "b"), "met")
-    wanted = met.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = met.select("block", F.col("a").alias("node")).distinct().unionAll(met.select("block", "b").distinct()).distinct()
     held = wanted.join(sets.hint("merge"), "node").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("node", "s"))).alias("of"))
     told = met.groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
 
