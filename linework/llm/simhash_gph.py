@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from linework.llm.common import components, cut, union, unused
 
 BITS = 64
-#: Buckets with more fingerprints than this are linked through midpoints instead of pair by pair.
+#: Buckets with more fingerprints than this are split by more bits before pairs are made.
 HOT_BUCKET = 512
+#: How often they are split at most, and the fingerprints of one part above which they are dense: those are linked through
+#: midpoints.
+SPLITS, DENSE = 2, 64
 #: Costs of a row that is dealt out and of a candidate that is verified, as parts of each other.
 ROW_COST, CANDIDATE_COST = 1.0, 0.01
 GROUP_COUNTS = (2, 3, 4, 5, 6)
@@ -280,24 +283,61 @@ def gph_links(fps: DataFrame, radius: int, hot_bucket: int = HOT_BUCKET, midpoin
     """Links (a, b) between fingerprints within radius; their components are those of all such pairs.
 
     fps: f long, distinct. Buckets of more than hot_bucket fingerprints would make pairs with the square of their
-    size; with midpoints their members, and whoever probes them, meet at points half the radius away, of which each has
-    a fixed number."""
+    size; with midpoints they are split by more bits (split_links), and only what stays together then meets at points
+    half the radius away. In a large table all buckets have that many fingerprints, few of which are near each other."""
     used = places(plan(fps.select(F.lit(0).alias("w"), "f"), radius))
     if not used:
         return fps.select(F.col("f").alias("a"), F.col("f").alias("b")).where("false")
     words = fps.select(F.coalesce("f", F.lit(0)).alias("w0"))
     index, probe = dealt(words, used, 0, "b"), dealt(words, used, 1, "a")
-    hubs = None
+    more = []
     if midpoints:
         hot = cut(index.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"), "hot")
         if not hot.isEmpty():
-            members = union([x.join(hot, "key", "left_semi").select(F.col(f"{s}.w0").alias("f")) for x, s in ((index, "b"), (probe, "a"))]).distinct()
-            hubs = midpoint_links(cut(members, "members"), radius)
+            crowded = [cut(x.join(hot, "key", "left_semi"), "crowded") for x in (index, probe)]
+            more = split_links(*crowded, used, radius, min(hot_bucket, DENSE))
             index, probe = index.join(hot, "key", "left_anti"), probe.join(hot, "key", "left_anti")
+    return reduce(DataFrame.unionAll, [met_links(index, probe, used, radius), *more])
+
+
+def met_links(index: DataFrame, probe: DataFrame, used: list[tuple[int, Group]], radius: int) -> DataFrame:
+    """Links (a, b) within radius between probes and what they meet in the index, each way to meet but the first left out."""
     # sizes are guessed from before the explode: the hint keeps either side from being broadcast at any size
     meet = (F.col("a.w0") < F.col("b.w0")) & (apart("a", "b", 1) <= radius) & first_way("a", "b", used)
-    pairs = probe.join(index.hint("merge"), "key").where(meet).select(F.col("a.w0").alias("a"), F.col("b.w0").alias("b"))
-    return pairs if hubs is None else pairs.unionAll(hubs)
+    return probe.join(index.hint("merge"), "key").where(meet).select(F.col("a.w0").alias("a"), F.col("b.w0").alias("b"))
+
+
+def runs_of(bits: tuple[int, ...], n: int) -> list[tuple[int, ...]]:
+    """bits in n runs of nearly equal length."""
+    at = [len(bits) * i // n for i in range(n + 1)]
+    return [bits[i:j] for i, j in zip(at, at[1:])]
+
+
+def split_links(index: DataFrame, probe: DataFrame, used: list[tuple[int, Group]], radius: int, dense: int) -> list[DataFrame]:
+    """Links whose components are those of all pairs within radius that index and probe (key, struct) bring together.
+
+    Bits that the key leaves out are cut into radius + 1 runs: what is within radius agrees in one of them, so a row goes
+    to radius + 1 narrower keys and meets whoever it has to. Keys that more than dense fingerprints share even so are
+    split again, SPLITS times in all; then their members are linked through midpoints."""
+    free = [tuple(b for b in range(BITS) if b not in g.bits) for _, g in used]
+    index, probe = index.withColumn("at", F.col("b.p")), probe.withColumn("at", F.col("a.p"))
+    found = []
+    for _ in range(SPLITS):
+        told, after = [], []
+        for bits in free:
+            runs = runs_of(bits, radius + 1)
+            told.append([{"at": len(after) + i, "k": signed(sum(1 << b for b in run))} for i, run in enumerate(runs)])
+            after += [tuple(b for b in bits if b not in run) for run in runs]
+        free, runs = after, F.element_at(F.from_json(F.lit(json.dumps(told)), "array<array<struct<at:int,k:bigint>>>"), F.col("at") + 1)
+        key = lambda s: F.xxhash64("key", "x.at", F.col(f"{s}.w0").bitwiseAND(F.col("x.k")))
+        index, probe = (x.select("key", s, F.explode(runs).alias("x")).select(key(s).alias("key"), s, "x.at") for x, s in ((index, "b"), (probe, "a")))
+        hot = cut(index.groupBy("key").count().where(F.col("count") > dense).select("key"), "hot")
+        if hot.isEmpty():
+            return [union([*found, met_links(index, probe, used, radius)]).distinct()]
+        found.append(cut(met_links(index.join(hot, "key", "left_anti"), probe.join(hot, "key", "left_anti"), used, radius), "split"))
+        index, probe = (cut(x.join(hot, "key", "left_semi"), "crowded") for x in (index, probe))
+    members = union([x.select(F.col(f"{s}.w0").alias("f")) for x, s in ((index, "b"), (probe, "a"))]).distinct()
+    return [union(found).distinct(), midpoint_links(cut(members, "members"), radius)]
 
 
 def midpoint_links(fps: DataFrame, radius: int) -> DataFrame:
