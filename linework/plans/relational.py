@@ -123,17 +123,42 @@ def points_within(points: DataFrame, keys: list[str], epsilon: float) -> DataFra
     return near.select(*keys, F.col("l.id").alias("a"), F.col("r.id").alias("b"), d.alias("d")).where(F.col("d") <= epsilon)
 
 
-def containers(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """boxes: keys, id, box, area: pairs (id, host) where the host's box holds the other strictly and is larger."""
-    near = grid_join(boxes, boxes, keys, 0.0, 8.0)
-    inside = (F.col("l.box.x_lo") > F.col("r.box.x_lo")) & (F.col("l.box.x_hi") < F.col("r.box.x_hi")) & (F.col("l.box.y_lo") > F.col("r.box.y_lo")) & (F.col("l.box.y_hi") < F.col("r.box.y_hi"))
-    return near.where(inside).select(*keys, F.col("l.id").alias("id"), F.col("r.id").alias("host"), F.col("r.area").alias("host_area"))
-
-
 def containment_tree(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, id, area, parent (the least container, null for roots), root, depth (number of containers)."""
-    own = containers(boxes, keys).groupBy(*keys, "id").agg(F.min_by("host", F.struct("host_area", "host")).alias("parent"), F.max_by("host", F.struct("host_area", "host")).alias("root"), F.count(F.lit(1)).alias("depth"))
-    return boxes.select(*keys, "id", "area").join(own, [*keys, "id"], "left").select(*keys, "id", "area", "parent", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    """keys, id, area, parent (the least container, null for roots), root, depth (number of containers). Containers are
+    boxes that hold the other strictly. Equal boxes have the same ones, so each box is met once with its number of copies."""
+    from linework.plans.shared import cut
+
+    own = F.struct("area", "id")
+    kinds = boxes.groupBy(*keys, "box").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count(F.lit(1)).alias("n"))
+    # the place in the order of containers stands for them: it is a number, which costs nothing to compare
+    place = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(f"{c}.area", f"{c}.id"))
+    kinds = cut(kinds.withColumn("first", place("lo")).withColumn("last", place("hi")))
+    held = containers(kinds, keys).groupBy(*keys, "kind").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("depth"))
+    named = lambda c, at, name: kinds.select(*keys, at, F.col(f"{c}.id").alias(name))
+    found = held.join(named("lo", "first", "parent"), [*keys, "first"]).join(named("hi", "last", "root"), [*keys, "last"])
+    found = kinds.select(*keys, "box", F.col("first").alias("kind")).join(found.select(*keys, "kind", "parent", "root", "depth"), [*keys, "kind"])
+    out = boxes.select(*keys, "id", "area", "box").join(found, [*keys, "box"], "left")
+    return out.select(*keys, "id", "area", "parent", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def containers(kinds: DataFrame, keys: list[str], cell: float = 8.0) -> DataFrame:
+    """kinds: keys, box, first, last, n, no box twice: keys, kind (first of the inner box) and first, last and n of each
+    box that holds it strictly. Such a box holds its lower left corner too, so boxes are met in the cell of that."""
+    placed = kinds.withColumn("at", _level(F.col("box"), cell)).withColumn("size", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("at")))
+    levels = placed.select("at", "size").distinct()
+    n = _tasks(kinds)
+    host = placed.select(*keys, "at", F.explode(_cells(F.col("box"), F.col("size"))).alias("c"), F.col("box").alias("hb"), "first", "last", "n")
+    host = host.select(*keys, "at", "c.i", "c.j", "hb", "first", "last", "n").repartition(n, *keys, "at", "i", "j")
+    inner = kinds.crossJoin(F.broadcast(levels))  # a grid level for each doubling: a handful of rows
+    inner = inner.select(*keys, "at", F.floor(F.col("box.x_lo") / F.col("size")).alias("i"), F.floor(F.col("box.y_lo") / F.col("size")).alias("j"), "box", F.col("first").alias("kind")).repartition(n, *keys, "at", "i", "j")
+    inside = (F.col("box.x_lo") > F.col("hb.x_lo")) & (F.col("box.x_hi") < F.col("hb.x_hi")) & (F.col("box.y_lo") > F.col("hb.y_lo")) & (F.col("box.y_hi") < F.col("hb.y_hi"))
+    return inner.join(host, [*keys, "at", "i", "j"]).where(inside).select(*keys, "kind", "first", "last", "n")
+
+
+def _tasks(df: DataFrame) -> int:
+    """An explicit number of partitions, for stages whose rows are few bytes and much work: those would be merged."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
 def net_area(tree: DataFrame, keys: list[str]) -> DataFrame:
