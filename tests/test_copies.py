@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linework.plans import relational as R
+from linework.queries import QUERIES
+from linework.queries.views import Views
 
 
 def test_copies_of_nested_boxes(spark):
@@ -15,3 +17,13 @@ def test_copies_of_nested_boxes(spark):
     got = R.containment_tree(boxes, ["d"]).groupBy((F.col("id") % 3).alias("k"), "depth", "parent").agg(F.count("*").alias("n"), F.max(F.when(F.col("root") == F.col("id"), 1).otherwise(0)).alias("own"), F.max("root").alias("root")).orderBy("k").collect()
     assert [(r.k, r.depth, r.parent, r.n, r.own) for r in got] == [(0, 0, None, 40_000, 1), (1, 40_000, 0, 40_000, 0), (2, 80_000, 1, 40_000, 0)]
     assert [r.root for r in got[1:]] == [119_997, 119_997]
+
+
+def test_pairs_of_equal_boxes(spark, tmp_path):
+    """Parts whose keys differ by thousands have one box if they are of one size; pairs of copies are pairs too."""
+    parts = spark.range(0, 60_000, 250).select(F.col("id").alias("p_partkey"), (F.col("id") % 3 * 9 + 5).cast("int").alias("p_size"))
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    boxes = Views(spark, str(tmp_path)).boxes().collect()
+    assert len({(b.d, b.x_lo, b.y_lo, b.x_hi, b.y_hi) for b in boxes}) * 10 < len(boxes)
+    want = sorted((a.id, b.id) for a in boxes for b in boxes if a.d == b.d and a.id < b.id and a.x_lo <= b.x_hi and b.x_lo <= a.x_hi and a.y_lo <= b.y_hi and b.y_lo <= a.y_hi)
+    assert want and sorted(map(tuple, QUERIES["box_pairs_whole"](spark, str(tmp_path)).collect())) == want
