@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from linework.operators import drawings as D
 from linework.plans import relational as R
+from linework.plans.once import each_kind
 from linework.queries import QUERIES
 from linework.queries.views import Views
 
@@ -27,3 +31,23 @@ def test_pairs_of_equal_boxes(spark, tmp_path):
     assert len({(b.d, b.x_lo, b.y_lo, b.x_hi, b.y_hi) for b in boxes}) * 10 < len(boxes)
     want = sorted((a.id, b.id) for a in boxes for b in boxes if a.d == b.d and a.id < b.id and a.x_lo <= b.x_hi and b.x_lo <= a.x_hi and a.y_lo <= b.y_hi and b.y_lo <= a.y_hi)
     assert want and sorted(map(tuple, QUERIES["box_pairs_whole"](spark, str(tmp_path)).collect())) == want
+
+
+def test_kernels_see_equal_drawings_once(spark):
+    """Each call of the kernel gives a value of its own, so drawings that share one went through it together."""
+    edge = lambda k: F.struct((k % 3).alias("x"), F.when(k % 3 == 1, -0.0).otherwise(0.0).alias("z"), F.lit(None).cast("double").alias("nothing"))
+    rows = spark.range(300).select(F.col("id").alias("drawing_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("edge_id")).withColumn("seg", edge(F.col("drawing_id")))
+    rows = rows.unionByName(rows.where("drawing_id = 6 and edge_id = 1"))
+    got = D.each_drawing(rows, lambda d, x: [(d, len(x), str(uuid.uuid4()))], "drawing_id long, n int, call string", by_frame=True).toPandas()
+    assert sorted(got.drawing_id) == list(range(300)) and got.call.nunique() == 4
+    assert set(got[got.n == 3].drawing_id) == {6} and got[got.drawing_id != 6].groupby(got.drawing_id % 3).call.nunique().tolist() == [1, 1, 1]
+
+
+def test_kernels_see_equal_rows_once(spark):
+    def of(frames):
+        for x in frames:
+            yield x[["id"]].assign(call=[str(uuid.uuid4()) for _ in x.id], size=[len(v) for v in x.v])
+
+    rows = spark.createDataFrame([(i % 50, [float(i % 4), None][: 1 + i % 2]) for i in range(200)], "id long, v array<double>")
+    got = each_kind(rows, ["v"], of, "call string, size int").toPandas()
+    assert len(got) == 200 and got.call.nunique() == 4 and sorted(got.id) == sorted(i % 50 for i in range(200))
