@@ -124,6 +124,27 @@ def points_within(points: DataFrame, keys: list[str], epsilon: float) -> DataFra
     return near.select(*keys, F.col("l.id").alias("a"), F.col("r.id").alias("b"), d.alias("d")).where(F.col("d") <= epsilon)
 
 
+def near_clusters(points: DataFrame, epsilon: float) -> DataFrame:
+    """points: id, x, y: id, cluster (the least id that chains of points at most epsilon apart reach). Points of one small
+    cell are near each other, so cells are what is linked: two of them where any points are near, until one pair is found."""
+    size = 0.7 * epsilon  # the diagonal is shorter than epsilon by 1 %, whatever rounding does
+    cell = lambda c: F.floor(F.col(c) / size)
+    placed = points.select("id", "x", "y", cell("x").alias("i"), cell("y").alias("j"))
+    finite = F.abs("x") + F.abs("y") < float("inf")  # other points are near none
+    cells = cut(placed.where(finite).groupBy("i", "j").agg(F.min("id").alias("least"), F.collect_set(F.struct("x", "y")).alias("p")), "cells")
+    steps = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(3) for b in range(-2, 3) if (a, b) > (0, 0)]
+    looked = cells.select("i", "j", "p", F.explode(F.array(*steps)).alias("s")).select(F.col("i").alias("i0"), F.col("j").alias("j0"), F.col("p").alias("q"), (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"))
+    n = tasks(points)
+    met = looked.repartition(n, "i", "j").join(cells.select("i", "j", "p").repartition(n, "i", "j"), ["i", "j"])
+    near = met.where(F.exists("p", lambda p: F.exists("q", lambda q: distance(p, q) <= epsilon)))
+    links = near.select(F.lit(0).cast("long").alias("drawing_id"), F.lit(0).alias("edge_id"), point("i", "j").alias("n0"), point("i0", "j0").alias("n1"))
+    found = node_components(links).select(F.col("node.x").cast("long").alias("i"), F.col("node.y").cast("long").alias("j"), "component")
+    named = cells.select("i", "j", "least").join(found, ["i", "j"], "left").withColumn("component", F.coalesce("component", point("i", "j")))
+    least = named.groupBy("component").agg(F.min("least").alias("cluster"))
+    both = placed.join(named.join(least, "component").select("i", "j", "cluster"), ["i", "j"], "left")
+    return both.select("id", F.coalesce(F.when(finite, F.col("cluster")), "id").alias("cluster"))
+
+
 def containment_tree(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id, area, parent (the least container, null for roots), root, depth (number of containers). Containers are
     boxes that hold the other strictly. Equal boxes have the same ones, so each box is met once with its number of copies."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from linework.operators import drawings as D
@@ -51,3 +52,26 @@ def test_kernels_see_equal_rows_once(spark):
     rows = spark.createDataFrame([(i % 50, [float(i % 4), None][: 1 + i % 2]) for i in range(200)], "id long, v array<double>")
     got = each_kind(rows, ["v"], of, "call string, size int").toPandas()
     assert len(got) == 200 and got.call.nunique() == 4 and sorted(got.id) == sorted(i % 50 for i in range(200))
+
+
+def test_clusters_of_crowded_points(spark):
+    """300,000 points in two crowds and some beside them: pairs of a crowd are never made."""
+    free = [(900_000, 3.0, 0.0), (900_001, 4.4, 0.0), (900_002, 6.0, 0.0), (900_003, float("nan"), 0.0), (900_004, None, 0.0), (900_005, float("inf"), 0.0), (900_006, 7.5, 0.0), (900_007, 103.0, 0.0)]
+    crowds = spark.range(300_000).select("id", (F.col("id") % 2 * 100 + F.col("id") % 1499 / 1000).alias("x"), F.lit(0.0).alias("y"))
+    got = dict(map(tuple, R.near_clusters(crowds.unionAll(spark.createDataFrame(free, "id long, x double, y double")), 1.5).where("id < 4 or id >= 900000").collect()))
+    # 3.0 is more than 1.5 from 1.498, so is 6.0 from 4.4; 7.5 is 1.5 from 6.0, and 103.0 is 1.502 from 101.498
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 900_000: 900_000, 900_001: 900_000, 900_002: 900_002, 900_003: 900_003, 900_004: 900_004, 900_005: 900_005, 900_006: 900_002, 900_007: 900_007}
+
+
+def test_clusters_of_free_points(spark):
+    rng = np.random.default_rng(5)
+    at = rng.uniform(-30, 30, (900, 2)).round(1)
+    label = np.arange(900)
+    near = np.sqrt((at[:, None, 0] - at[None, :, 0]) ** 2 + (at[:, None, 1] - at[None, :, 1]) ** 2) <= 1.5
+    while True:
+        new = np.where(near, label[None], 900).min(1)
+        if (new == label).all():
+            break
+        label = new
+    rows = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id long, x double, y double")
+    assert dict(map(tuple, R.near_clusters(rows, 1.5).collect())) == dict(enumerate(label.tolist()))
