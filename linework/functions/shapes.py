@@ -46,14 +46,14 @@ def _run(s: Column) -> Column:
 
 
 def as_rectangle(segments: Column, tolerance: float = TOLERANCE) -> Column:
-    """Four lines, right angles to a degree, opposite sides equal to 1 % of the longest."""
+    """Four lines that have a length, right angles to a degree, opposite sides equal to 1 % of the longest."""
     l = [_run(segments[i]) for i in range(4)]
     h = [_heading(segments[i]) for i in range(4)]
     longest = F.greatest(*l)
     square = F.lit(True)
     for i in range(4):
         square = square & (F.abs(_turn_deg(h[i], h[(i + 1) % 4]) - 90) <= ANGLE_DEG)
-    ok = (F.size(segments) == 4) & _all(segments, "line") & square & (F.abs(l[0] - l[2]) <= tolerance * longest) & (F.abs(l[1] - l[3]) <= tolerance * longest)
+    ok = (F.size(segments) == 4) & _all(segments, "line") & (F.least(*l) > 0) & square & (F.abs(l[0] - l[2]) <= tolerance * longest) & (F.abs(l[1] - l[3]) <= tolerance * longest)
     cx = F.aggregate(segments, F.lit(0.0), lambda a, s: a + s["x0"]) / 4
     cy = F.aggregate(segments, F.lit(0.0), lambda a, s: a + s["y0"]) / 4
     angle = F.pmod(F.degrees(F.when(l[0] >= l[1], h[0]).otherwise(h[1])), F.lit(180.0))

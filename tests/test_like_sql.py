@@ -7,8 +7,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from linework.functions import regions
+from linework.functions import build, regions, shapes
 from linework.functions import segments as S
+from linework.operators import curves
 from linework.plans import relational as R
 from linework.queries.views import r6
 
@@ -39,3 +40,16 @@ def test_points_just_the_reach_apart(spark):
     assert any(a[1] + 1.5 < b[1] for a, b in zip(rows[::2], rows[1::2], strict=True) if a[3] in near)
     got = R.points_within(spark.createDataFrame(rows, "id long, x double, y double, g long").select("g", "id", "x", F.lit(0.0).alias("y")), ["g"], 1.5)
     assert {r.g for r in got.collect()} == near
+
+
+def test_a_long_spline_passes_its_points(spark):
+    """Forty points that go to and fro: samples of the curve are farther from them than the curve."""
+    pts = [(float(5 + 95 * (i % 2)), float(1 + (i * 37) % 50)) for i in range(40)]
+    got = curves.interpolated(spark.createDataFrame([(1, pts)], "id long, pts array<struct<x:double,y:double>>")).first()
+    assert got.n_ctrl == 40 and got.miss < 1e-6
+
+
+def test_no_rectangle_without_sides(spark):
+    ring = lambda *p: build.polygon(F.array(*[S.point(float(x), float(y)) for x, y in p]))
+    flat, made = ring((3, 1), (3, 1), (3, 9), (3, 9)), ring((0, 0), (3, 0), (3, 9), (0, 9))
+    assert tuple(spark.range(1).select(shapes.as_rectangle(flat).isNotNull(), shapes.as_rectangle(made).isNotNull()).first()) == (False, True)
