@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linework.functions.segments import TAU, distance, end_point, point, seg_sweep, start_point
+from linework.functions.segments import TAU, distance, end_point, let, point, seg_sweep, start_point
 
 TOLERANCE, ANGLE_DEG = 0.01, 1.0
 NOTHING = "struct<shape:string,cx:double,cy:double,length:double,width:double,angle:double,sides:int>"
@@ -76,21 +76,28 @@ def as_stadium(segments: Column, tolerance: float = TOLERANCE) -> Column:
 
 def as_other(segments: Column) -> Column:
     """A polygon of at least three lines, or other; its size is that of the least turned box along one of its sides."""
-    points = F.transform(segments, start_point)
-    boxes = F.transform(F.filter(segments, lambda s: s["kind"] == "line"), lambda s: _box_along(points, _heading(s)))
-    best = F.array_min(boxes)
     kind = F.when((F.size(segments) >= 3) & _all(segments, "line"), "polygon").otherwise("other")
-    cx = F.aggregate(points, F.lit(0.0), lambda a, p: a + p["x"]) / F.size(points)
-    cy = F.aggregate(points, F.lit(0.0), lambda a, p: a + p["y"]) / F.size(points)
-    return F.struct(kind.alias("shape"), cx.alias("cx"), cy.alias("cy"), best["length"].alias("length"), best["width"].alias("width"), best["angle"].alias("angle"), F.size(segments).cast("int").alias("sides"))
+
+    def of(points: Column) -> Column:
+        headings = F.transform(F.filter(segments, lambda s: s["kind"] == "line"), _heading)
+        mean = lambda c: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[c]) / F.size(points)
+        best = F.array_min(F.transform(headings, lambda a: _box_along(points, a)))
+        return let(best, lambda b: F.struct(kind.alias("shape"), mean("x").alias("cx"), mean("y").alias("cy"), b["length"].alias("length"), b["width"].alias("width"), b["angle"].alias("angle"), F.size(segments).cast("int").alias("sides")))
+
+    return let(F.transform(segments, start_point), of)
 
 
 def _box_along(points: Column, a: Column) -> Column:
-    u = F.transform(points, lambda p: p["x"] * F.cos(a) + p["y"] * F.sin(a))
-    v = F.transform(points, lambda p: p["y"] * F.cos(a) - p["x"] * F.sin(a))
-    w, h = F.array_max(u) - F.array_min(u), F.array_max(v) - F.array_min(v)
-    angle = F.pmod(F.degrees(F.when(w >= h, a).otherwise(a + pi / 2)), F.lit(180.0))
-    return F.struct(F.round(w * h, 9).alias("area"), F.greatest(w, h).alias("length"), F.least(w, h).alias("width"), angle.alias("angle"))
+    """In steps, each of which names what the one before has worked out."""
+    turned = lambda t: F.transform(points, lambda p: F.struct((p["x"] * t["c"] + p["y"] * t["s"]).alias("u"), (p["y"] * t["c"] - p["x"] * t["s"]).alias("v")))
+    size = lambda q: F.struct(*[(F.array_max(q[c]) - F.array_min(q[c])).alias(n) for c, n in (("u", "w"), ("v", "h"))])
+
+    def box(q: Column) -> Column:
+        w, h = q["w"], q["h"]
+        angle = F.pmod(F.degrees(F.when(w >= h, a).otherwise(a + pi / 2)), F.lit(180.0))
+        return F.struct(F.round(w * h, 9).alias("area"), F.greatest(w, h).alias("length"), F.least(w, h).alias("width"), angle.alias("angle"))
+
+    return let(let(let(F.struct(F.cos(a).alias("c"), F.sin(a).alias("s")), turned), size), box)
 
 
 def contour_shape(segments: Column) -> Column:
